@@ -34,8 +34,9 @@ def score_criteria(criteria: DataFrame, key: str) -> DataFrame:
     budget = 100 - F.when(F.col("evidence_recency").isNotNull(), S.RECENCY_POINTS).otherwise(0)
     parts = [F.when(F.col(f"{n}_weight") > 0, budget * p / F.col("present") * F.col(f"{n}_credit") / F.col(f"{n}_weight")).otherwise(0.0) for n, p in S.CATEGORY_WEIGHTS.items()]
     df = df.withColumn("present", present)
+    # the hair added before rounding lifts exact halves off the edge, where engines part
     raw = sum(parts, F.coalesce(S.RECENCY_POINTS * F.col("evidence_recency"), F.lit(0.0)))
-    return df.withColumn("raw", raw).withColumn("score", F.round(F.when(F.col("conflict") == 1, F.least("raw", F.lit(float(S.CONFLICT_CAP)))).otherwise(F.col("raw")), 4)).drop("raw", "present")
+    return df.withColumn("raw", raw).withColumn("score", F.round(F.when(F.col("conflict") == 1, F.least("raw", F.lit(float(S.CONFLICT_CAP)))).otherwise(F.col("raw")) + 1e-9, 4)).drop("raw", "present")
 
 
 def score_local(df: DataFrame, relevance: Column, recency: Column, overlap: Column, preference: Column) -> DataFrame:

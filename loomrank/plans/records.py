@@ -211,7 +211,7 @@ ORACLE_SQL = {
     "keyword_mentions": "select * from (select doc_id, concat_ws(',', " + ", ".join(f"case when {sql_mentions('text', w)} then '{w}' end" for w in ("the", "que", "und", "les", "go")) + ") as hits from documents) where hits <> ''",
     "clause_rule_filter": rf"select * from (select doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '(?i)[\n;.!?。；]+|\bbut\b'), lambda c: {sql_collapse("replace(c, ':', ' ')")}), lambda c: regexp_matches(c, '(?i)\blicensed\b|\blicense\b') and not regexp_matches(c, '(?i)\bnot\b|\bpreferred\b'))[1] as clause from documents) where clause is not null",
     "shortest_term": rf"with s as (select * from (values {TERM_VALUES}) v(id, text) union all select doc_id + 1000, text || '. ' || (doc_id % 30) || ' months' from documents), p as (select id, list_filter(list_transform(string_split_regex({sql_digits('text')}, '[\n;.](\s|$)'), lambda x: list_filter(list_transform(regexp_extract_all(' ' || x, '(?i)[^\p{{L}}\p{{N}}_](\d{{1,2}})\s*[-–]?\s*month', 1), lambda m: m::int), lambda m: m between 1 and 24)), lambda l: len(l) > 0)[1] as months from s) select id::bigint as id, list_min(months)::bigint as shortest from p",
-    "score_criteria": f"with {CRITERIA_SQL} select l_orderkey, round(case when tw > 0 then budget * 35.0::double / present * tc / tw else 0 end + case when ew > 0 then budget * 40.0::double / present * ec / ew else 0 end + case when dw > 0 then budget * 25.0::double / present * dc / dw else 0 end + coalesce(10 * evidence_recency, 0), 4) as score, must_have_count from p",
+    "score_criteria": f"with {CRITERIA_SQL} select l_orderkey, round(case when tw > 0 then budget * 35.0::double / present * tc / tw else 0 end + case when ew > 0 then budget * 40.0::double / present * ec / ew else 0 end + case when dw > 0 then budget * 25.0::double / present * dc / dw else 0 end + coalesce(10 * evidence_recency, 0) + 1e-9, 4) as score, must_have_count from p",
     "must_have_coverage": f"with {CRITERIA_SQL} select l_orderkey, must_have_coverage, must_have_count from p",
     "evidence_recency": f"with {CRITERIA_SQL} select l_orderkey, evidence_recency from p",
     "preference_fraction": f"select p_partkey, round(((case when {sql_mentions('p_name', '1')} or {sql_mentions('p_type', 'steel')} then 1.0 else 0.0 end) + (case when {sql_mentions('p_brand', 'brand#11')} then 1.0 else 0.0 end))::double / 2, 6) as fraction from part",
