@@ -109,7 +109,8 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> OutputCodes:
         got = sorted((t, x) for b in batches for x, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(OutputCodes([g[0] for g in got], [g[1] for g in got]))], pa.binary())], ["model"])
 
-    return pickle.loads(map_batches(told.select("lang", "text").repartition(1), run, "model binary").first()[0])
+    got = map_batches(told.select("lang", "text").repartition(1), run, "model binary").first()
+    return pickle.loads(got[0]) if got else OutputCodes([], [])
 
 
 def language_scores(docs: DataFrame, rows: int = FIT_ROWS, keep: bool = False) -> DataFrame:

@@ -175,11 +175,16 @@ class PieceBpe:
 
     def decode(self, ids: list[int]) -> str:
         """Text of any ids: pieces joined, blanks restored, the leading one dropped, unknown ids as the library shows them."""
-        out = b"".join([" ⁇ ".encode() if i == self.unknown else self.text_of[i] for i in ids])
+        runs: list[list[bytes]] = [[]]
+        for i in ids:
+            runs[-1].append(" ⁇ ".encode() if i == self.unknown else self.text_of[i])
+            if self.special[i] and i != self.unknown:  # bytes on the two sides of a control piece are no character together
+                runs.append([])
+        out = "".join(ESCAPED.sub("\ufffd", b"".join(r).decode("utf-8", "surrogateescape")) for r in runs)
         first = next((i for i in ids if not self.special[i]), None)
-        if first is not None and self.pieces[first].startswith(BLANK) and (not ids or ids[0] != self.unknown):
+        if first is not None and self.pieces[first].startswith(BLANK) and ids[0] != self.unknown:
             out = out[1:]
-        return ESCAPED.sub("\ufffd", out.decode("utf-8", "surrogateescape"))
+        return out
 
 
 _MODELS: dict[str, PieceBpe] = {}

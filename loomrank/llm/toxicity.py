@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> NearestExam
         got.sort(key=lambda r: (r[1] or "", r[0]))  # the texts' order, so that ids decide nothing
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(NearestExamples([r[0] for r in got], [r[1] for r in got], [r[2] for r in got]))], pa.binary())], ["model"])
 
-    return pickle.loads(map_batches(joined.select("id", "text", "l_toxic").repartition(1), run, "model binary").first()[0])
+    got = map_batches(joined.select("id", "text", "l_toxic").repartition(1), run, "model binary").first()
+    return pickle.loads(got[0]) if got else NearestExamples([], [], [])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:

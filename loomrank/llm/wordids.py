@@ -14,7 +14,8 @@ import re
 import numpy as np
 
 #: Words kept encoded in each worker: so many new ones, and as many that were new before them.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 700_000
+MARKS = frozenset(".,;:!?")
 #: The unit separators \x1c-\x1f are white space to Python but not to the library.
 UNITS = re.compile("[\x1c-\x1f]")
 WITH_BLANKS = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
@@ -39,6 +40,7 @@ class WordIds:
             self.bare = True
         else:
             raise ValueError(f"no word cuts are known for {kinds} with {steps}")
+        self.lowers = "Lowercase" in steps
         self.size = self.tokenizer.get_vocab_size()
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -53,11 +55,27 @@ class WordIds:
             self.memo, self.older = {}, self.memo
         missing = [w for w in words if w not in self.memo]
         self.memo.update({w: self.older[w] for w in missing if w in self.older})
-        fresh = [w for w in missing if w not in self.memo]
+        fresh, ended = set(), []
+        for w in missing:
+            if w in self.memo:
+                continue
+            key = w.lower() if self.lowers and w.isascii() else w
+            # a single mark behind an ASCII letter is a token of its own in both kinds
+            if len(key) > 1 and key[-1] in MARKS and key[-2].isascii() and key[-2].isalpha():
+                ended.append((w, key[:-1], key[-1]))
+                fresh.update(x for x in ended[-1][1:] if x not in self.memo)
+            else:
+                if key != w:
+                    ended.append((w, key, ""))
+                if key not in self.memo:
+                    fresh.add(key)
+        fresh = list(fresh)
         for i in range(0, len(fresh), 10_000):
             part = fresh[i : i + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        for w, stem, mark in ended:
+            self.memo[w] = self.memo[stem] + (self.memo[mark] if mark else b"")
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, null as empty; as many texts at a time as the memory has room for."""
