@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -44,6 +45,12 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs left: Spark deletes shuffle files once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with bounded batches."""
     spark = df.sparkSession
