@@ -1,6 +1,7 @@
 """The ten operators against brute force, libraries and exact round trips, on a table with every awkward row."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -253,3 +254,36 @@ def test_mixture_is_exact():
         served = [mix.served(k * 40) for k in range(60)]
         assert all(sum(s) == min(mix.total, 40 * k) for k, s in enumerate(served))
         assert all(b >= a for x, y in zip(served, served[1:], strict=False) for a, b in zip(x, y, strict=True))
+
+
+def test_alike(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(150):
+        a = "".join(rng.choice("abc é") for _ in range(rng.randint(1, 90)))
+        b = list(a)
+        for _ in range(rng.randint(0, 25)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+        rows.append((a, "".join(b)))
+
+    def distance(a, b):
+        row = range(len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for r in spark.createDataFrame(rows, "x string, y string").withColumn("ok", linededup.alike("x", "y", 0.8)).collect():
+        assert r.ok == (distance(r.x, r.y) <= int(0.2 * max(len(r.x), len(r.y)) + 1e-9))
+
+
+def test_separators_are_no_words_of_a_line(spark):
+    rows = [(i, " | ".join(f"{w}{i}" for w in ("alpha", "beta", "gamma", "delta"))) for i in range(40)] + [(99, "- - - - - - - - - - - -"), (100, "- - - - - - - - - - - -")]
+    lines = linededup.exploded(spark.createDataFrame(rows, "doc_id long, text string"))
+    words = {r.doc_id: r.w for r in lines.select("doc_id", linededup.telling(lines.words).alias("w")).collect()}
+    assert words[3] == ["alpha3", "beta3", "gamma3", "delta3"] and words[99] == ["-"] * 12
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "" and got[99] == rows[40][1]
