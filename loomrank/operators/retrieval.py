@@ -84,7 +84,12 @@ def reciprocal_rank_fusion(df: DataFrame, key: str, lexical: str, semantic: str)
 
 
 def cascade(df: DataFrame, key: str, fused: str, judge: str, pool: int = S.POOL) -> DataFrame:
-    """The best ``pool`` rows by ``fused``, in the order of the costlier ``judge``; ``pos`` is the new position."""
-    head = df.orderBy(F.col(fused).desc(), F.col(key)).limit(pool)
+    """All rows, with ``pos``: the best ``pool`` by ``fused`` in the order of the costlier ``judge``, the others beneath as they were.
+
+    The pool bounds what is judged and nothing else: ``judge`` is null outside it.
+    """
+    ranked = global_rank(df, "pos", F.col(fused).desc(), F.col(key).asc())
     by = Window.orderBy(F.col(judge).desc_nulls_last(), F.col(fused).desc(), F.col(key))  # over the bounded pool
-    return head.withColumn("pos", F.row_number().over(by).cast("long"))
+    head = ranked.where(F.col("pos") <= pool).withColumn("pos", F.row_number().over(by).cast("long"))
+    tail = ranked.where(F.col("pos") > pool).withColumn(judge, F.lit(None).cast(df.schema[judge].dataType))
+    return head.unionByName(tail)

@@ -92,9 +92,15 @@ def rrf_fusion(spark, sf_dir):
     return fused_documents(spark, sf_dir).select("doc_id", "r_lex", "r_sem", "fused")
 
 
-def cascade_pool(spark, sf_dir):
+def cascaded(spark, sf_dir):
+    """Every document in the order of the cascade; those outside the pool have no judge."""
     judged = fused_documents(spark, sf_dir).withColumn("logit", (F.col("doc_id") * 37 % 101).cast("double") / 10 - 5)
-    return R.cascade(judged, "doc_id", "fused", "logit").select("doc_id", "fused", F.round(S.sigmoid(F.col("logit")), 6).alias("judge"), "pos")
+    return R.cascade(judged, "doc_id", "fused", "logit").select("doc_id", "fused", F.when(F.col("logit").isNotNull(), F.round(S.sigmoid(F.col("logit")), 6)).alias("judge"), "pos")
+
+
+def cascade_pool(spark, sf_dir):
+    """The pool alone, as its SQL twin has it."""
+    return cascaded(spark, sf_dir).where(F.col("pos") <= S.POOL)
 
 
 def calibrated_relevance(spark, sf_dir):

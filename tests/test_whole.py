@@ -1,0 +1,16 @@
+"""What a query's SQL twin cuts off is worked out all the same: the parts beneath the cut against the SQL without it."""
+
+from loomrank.functions import scores as S
+from loomrank.plans import matching
+from tests.test_queries import SF
+
+
+def test_cascade_keeps_what_is_outside_the_pool(spark):
+    fused = {r.doc_id: r.fused for r in matching.rrf_fusion(spark, SF).collect()}
+    got = {r.doc_id: r for r in matching.cascaded(spark, SF).collect()}
+    order = sorted(fused, key=lambda d: (-fused[d], d))
+    assert set(got) == set(fused) and len(fused) > S.POOL
+    assert {d for d in got if got[d].judge is not None} == set(order[: S.POOL]) == {d for d in got if got[d].pos <= S.POOL}
+    assert [got[d].pos for d in order[S.POOL :]] == list(range(S.POOL + 1, len(order) + 1))
+    head = sorted(order[: S.POOL], key=lambda d: (-(d * 37 % 101), -fused[d], d))
+    assert [got[d].pos for d in head] == list(range(1, S.POOL + 1))
