@@ -108,14 +108,20 @@ def calibrated_relevance(spark, sf_dir):
     return scored(spark, sf_dir).select("doc_id", S.relevance(F.col("score"), sem).alias("relevance"))
 
 
-def score_local(spark, sf_dir):
+def local_scores(spark, sf_dir):
+    """The score of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("toks"))
     skills = F.array_intersect("toks", F.array(*[F.lit(s) for s in ("idiot", "licensed", "que", "und", "les")]))
     df = docs.join(scored(spark, sf_dir), "doc_id", "left")
     overlap = C.overlap_credit(skills, ["que"], ["und"], ["les"])
     rec = F.when(F.col("doc_id") % 3 != 0, S.recency_weight(F.col("doc_id") % 48))
     pref = C.preference_fraction([F.col("lang") == "en", F.col("source") == "src0"])
-    return C.score_local(df, S.relevance(F.coalesce("score", F.lit(0.0)), F.lit(None).cast("double")), rec, overlap, pref).select("doc_id", "score").where("score > 40")
+    return C.score_local(df, S.relevance(F.coalesce("score", F.lit(0.0)), F.lit(None).cast("double")), rec, overlap, pref).select("doc_id", "score")
+
+
+def score_local(spark, sf_dir):
+    """The scores above 40 alone, as its SQL twin has them."""
+    return local_scores(spark, sf_dir).where("score > 40")
 
 
 SCORE_LOCAL_SQL = f"""with {BM25_SQL}, s as (select d.doc_id, documents.lang, documents.source, list_intersect(list_distinct(d.toks), ['idiot','licensed','que','und','les']) as sk, round(coalesce(score, 0) / (coalesce(score, 0) + 12), 6) as rel, case when d.doc_id % 3 <> 0 then round(0.4 + 0.6 * pow(0.5, (d.doc_id % 48) / 24.0), 4) end as rec from d join documents on d.doc_id = documents.doc_id left join bm on d.doc_id = bm.doc_id),

@@ -126,10 +126,15 @@ def skill_tiers(spark, sf_dir):
     return turns.select("conv_id", tier.alias("tier"), F.explode(hits).alias("skill")).groupBy("conv_id", "skill").agg(F.max("tier").cast("long").alias("tier"))
 
 
-def months_between_incl(spark, sf_dir):
-    li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders").where("o_totalprice > 300000")
+def months_of(orders, li):
+    """The month rules over all line items of ``orders``."""
     months = (F.year("l_shipdate") - F.year("o_orderdate")) * 12 + F.month("l_shipdate") - F.month("o_orderdate")
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.when((months + 1).between(1, 600), months + 1).cast("long").alias("months"), F.greatest(F.lit(0), (2000 - F.year("l_shipdate")) * 12 + 1 - F.month("l_shipdate")).cast("long").alias("since"))
+    return li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.when((months + 1).between(1, 600), months + 1).cast("long").alias("months"), F.greatest(F.lit(0), (2000 - F.year("l_shipdate")) * 12 + 1 - F.month("l_shipdate")).cast("long").alias("since"))
+
+
+def months_between_incl(spark, sf_dir):
+    """Orders above 300,000 alone, as its SQL twin has them."""
+    return months_of(read(spark, sf_dir, "orders").where("o_totalprice > 300000"), read(spark, sf_dir, "lineitem"))
 
 
 def event_rows(spark, sf_dir):

@@ -1,8 +1,26 @@
 """What a query's SQL twin cuts off is worked out all the same: the parts beneath the cut against the SQL without it."""
 
+import duckdb
+import pytest
+
+from loomrank import catalog
 from loomrank.functions import scores as S
-from loomrank.plans import matching
-from tests.test_queries import SF
+from loomrank.plans import matching, records
+from tests.test_queries import SF, TABLES, plain
+
+
+def rows_of(df, cols):
+    return sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+
+
+def from_sql(name, cut, cols):
+    sql = catalog.oracle_sql()[name]
+    assert cut in sql
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = con.sql(sql.replace(cut, ""))
+    return sorted((tuple(plain(dict(zip(got.columns, x, strict=True))[c]) for c in cols) for x in got.fetchall()), key=repr)
 
 
 def test_cascade_keeps_what_is_outside_the_pool(spark):
@@ -14,3 +32,11 @@ def test_cascade_keeps_what_is_outside_the_pool(spark):
     assert [got[d].pos for d in order[S.POOL :]] == list(range(S.POOL + 1, len(order) + 1))
     head = sorted(order[: S.POOL], key=lambda d: (-(d * 37 % 101), -fused[d], d))
     assert [got[d].pos for d in head] == list(range(1, S.POOL + 1))
+
+
+@pytest.mark.parametrize("name,cut", [("score_local", " where score > 40"), ("months_between_incl", " where o_totalprice > 300000")])
+def test_all_rows_beneath_the_cut(spark, name, cut):
+    whole = {"score_local": lambda: matching.local_scores(spark, SF), "months_between_incl": lambda: records.months_of(records.read(spark, SF, "orders"), records.read(spark, SF, "lineitem"))}[name]()
+    cols = sorted(whole.columns)
+    got = rows_of(whole, cols)
+    assert got == from_sql(name, cut, cols) and len(got) > catalog.queries()[name](spark, SF).count()
