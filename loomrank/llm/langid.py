@@ -23,6 +23,9 @@ from loomrank.llm.common import held_out, map_batches
 FIT_ROWS, BUCKETS, PASSES = 3000, 4096, 120
 #: Probability margin under which a document is ambiguous.
 MARGIN = 0.2
+#: Rows out of which limits of the decoding loss are learnt, in all and in a length class, at least; a limit is SLACK times that quantile of their losses,
+#: and never below NEAR (each bit decoded with a probability of about 0.95).
+GATE_ROWS, CLASS_ROWS, QUANTILE, SLACK, NEAR = 200, 40, 0.999, 2.0, 0.05
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII characters that aren't letters become blanks.
 FOLD = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
@@ -83,11 +86,15 @@ class OutputCodes:
         self.trust = np.log(right / (1 - right)).astype(np.float64)
         self.trust /= self.trust.sum()
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, probability and ambiguity of each text; ``und`` without a letter or without any learnt language."""
+    def losses(self, texts: list[str | None]) -> np.ndarray:
+        """Decoding loss of each text (row) to each language."""
         x = np.stack([grams(t) for t in texts]) - self.mean
         margins = (x @ self.weights[:-1] + self.weights[-1]).astype(np.float64)
-        loss = np.stack([(np.logaddexp(0, -margins * c) * self.trust).sum(1) for c in self.code], 1) if self.langs else np.zeros((len(texts), 1))
+        return np.stack([(np.logaddexp(0, -margins * c) * self.trust).sum(1) for c in self.code], 1) if self.langs else np.zeros((len(texts), 1))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, probability and ambiguity of each text; ``und`` without a letter or without any learnt language."""
+        loss = self.losses(texts)
         p = np.exp(-(loss - loss.min(1, keepdims=True)) * 4)
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
@@ -98,7 +105,40 @@ class OutputCodes:
         return langs, np.where(none, 0.0, np.round(top[:, 0], 9)), none | unclear
 
 
-def fit(docs: DataFrame, rows: int = FIT_ROWS) -> OutputCodes:
+def length_class(text: str | None) -> int:
+    """Doublings of the number of letters, 10 at most: few letters are decoded with a greater loss."""
+    return min(10, len(LETTER.findall(text or "")).bit_length())
+
+
+class Gate(OutputCodes):
+    """Codes that also tell what is near none of their words.
+
+    The limits of the decoding loss, one a length class, come from learnable rows as a model of the other half of
+    them decodes them. A longer class's limit is never the greater; a class with few rows takes the shorter one's.
+    Under GATE_ROWS rows nothing can be told about losses and there is no limit.
+    """
+
+    def __init__(self, texts: list[str | None], langs: list[str]):
+        super().__init__(texts, langs)
+        self.limits = np.full(11, np.inf)
+        if len(texts) < GATE_ROWS or len(self.langs) < 2:
+            return
+        kind, loss = np.array([length_class(t) for t in texts]), np.zeros(len(texts))
+        for half in (0, 1):
+            other = OutputCodes(texts[1 - half :: 2], langs[1 - half :: 2])
+            loss[half::2] = other.losses(texts[half::2]).min(1)
+        limit = np.inf
+        for k in range(11):
+            if (kind == k).sum() >= CLASS_ROWS:
+                limit = min(limit, max(NEAR, SLACK * np.quantile(loss[kind == k], QUANTILE)))
+            self.limits[k] = limit
+
+    def near(self, texts: list[str | None]) -> np.ndarray:
+        """Whether each text is within its limit of some language."""
+        return self.losses(texts).min(1) <= self.limits[[length_class(t) for t in texts]]
+
+
+def fit(docs: DataFrame, rows: int = FIT_ROWS, kind: type[OutputCodes] = OutputCodes) -> OutputCodes:
     """Fit on rows with a language that may be learnt from, at most about ``rows`` of them, in one task."""
     told = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null").where(~held_out(F.col("id")))
     n = docs.where("lang is not null").count()
@@ -107,10 +147,10 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> OutputCodes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((t, x) for b in batches for x, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(OutputCodes([g[0] for g in got], [g[1] for g in got]))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(kind([g[0] for g in got], [g[1] for g in got]))], pa.binary())], ["model"])
 
     got = map_batches(told.select("lang", "text").repartition(1), run, "model binary").first()
-    return pickle.loads(got[0]) if got else OutputCodes([], [])
+    return pickle.loads(got[0]) if got else kind([], [])
 
 
 def language_scores(docs: DataFrame, rows: int = FIT_ROWS, keep: bool = False) -> DataFrame:
@@ -132,14 +172,21 @@ def language_scores(docs: DataFrame, rows: int = FIT_ROWS, keep: bool = False) -
 
 
 def keep_language(docs: DataFrame, languages: list[str] | None = None, rows: int = FIT_ROWS) -> DataFrame:
-    """Rows of ``docs`` whose text has a language (one of ``languages`` if given), as they were, without a shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, rows))
+    """Rows of ``docs`` whose text is in a learnt language (one of ``languages`` if given), as they were, without a shuffle.
+
+    A text goes that has no letter or whose decoding loss to every language is past its limit. All rows stay where no
+    language could be learnt.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, rows, Gate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                langs, _, _ = model.value.predict(b.column(at).to_pylist())
-                yield b.filter(pa.array([x != "und" and (not languages or x in languages) for x in langs]))
+            if b.num_rows and not model.value.langs:
+                yield b
+            elif b.num_rows:
+                texts = b.column(at).to_pylist()
+                langs, _, _ = model.value.predict(texts)
+                yield b.filter(pa.array([bool(n) and x != "und" and (not languages or x in languages) for x, n in zip(langs, model.value.near(texts), strict=True)]))
 
     at = docs.columns.index("text")
     return map_batches(docs, run, docs.schema)

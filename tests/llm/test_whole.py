@@ -1,11 +1,12 @@
 """Cases that show whether an operator does its whole job."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
 
-from loomrank.llm import flac, queries
+from loomrank.llm import flac, langid, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +26,16 @@ def test_media_features_come_from_stored_streams(spark):
         part = flac.decode_range(bytes(r.media), start, 100)
         assert (part.astype(np.int8).view(np.uint8) ^ 0x80).tobytes() == raw[start : start + 100]
         assert (got[r.doc_id].payload_sha256, got[r.doc_id].tail_crc32) == (hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
+
+
+def test_documents_in_no_language_go(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id", "left_semi")
+    letters = ["bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"]
+    planted = [(-1 - i, " ".join("".join(rng.choice(letters[i % 3]) for _ in range(rng.randint(3, 9))) for _ in range(200)), None) for i in range(30)]
+    both = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in langid.keep_language(both).select("doc_id").collect()}
+    assert not {i for i in kept if i < 0} and {r.doc_id for r in clean.collect()} <= kept
+    none = spark.createDataFrame([(1, "some words", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert langid.keep_language(none).count() == 2
