@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 
 from loomrank.llm import flac, langid, queries
@@ -39,3 +40,25 @@ def test_documents_in_no_language_go(spark):
     assert not {i for i in kept if i < 0} and {r.doc_id for r in clean.collect()} <= kept
     none = spark.createDataFrame([(1, "some words", None), (2, None, None)], "doc_id long, text string, lang string")
     assert langid.keep_language(none).count() == 2
+
+
+def test_near_duplicates_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [None, "", " \n", "two words", "Two  words"]
+    for n in (40, 100, 200, 400):
+        for share in (0, 0.005, 0.01, 0.02, 0.03, 0.08):
+            for _ in range(3):
+                w = [rng.choice(vocabulary) for _ in range(n)]
+                v = [rng.choice(vocabulary) if i in set(rng.sample(range(n), round(n * share))) else x for i, x in enumerate(w)]
+                texts += [" ".join(w), " ".join(v)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()})
+    root = list(range(len(sets)))
+    for _ in range(4):
+        root = [min(root[j] for j in range(len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(sets))]
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()}
+    assert kept == set(root) and len(kept) < len(texts) - 30
