@@ -7,7 +7,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 
-from loomrank.llm import flac, langid, queries
+from loomrank.llm import flac, langid, linededup, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,7 +50,8 @@ def test_near_duplicates_are_those_of_brute_force(spark):
         for share in (0, 0.005, 0.01, 0.02, 0.03, 0.08):
             for _ in range(3):
                 w = [rng.choice(vocabulary) for _ in range(n)]
-                v = [rng.choice(vocabulary) if i in set(rng.sample(range(n), round(n * share))) else x for i, x in enumerate(w)]
+                gone = set(rng.sample(range(n), round(n * share)))
+                v = [rng.choice(vocabulary) if i in gone else x for i, x in enumerate(w)]
                 texts += [" ".join(w), " ".join(v)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = []
@@ -62,3 +63,35 @@ def test_near_duplicates_are_those_of_brute_force(spark):
         root = [min(root[j] for j in range(len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(sets))]
     kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()}
     assert kept == set(root) and len(kept) < len(texts) - 30
+
+
+def test_near_copies_of_lines_go(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rows, near = [], {}
+    for n in (2, 3, 5, 8, 14, 27, 50, 80):
+        for _ in range(12):
+            w = [rng.choice(vocabulary) for _ in range(n)]
+            v = list(w)
+            v[rng.randrange(n)] = rng.choice(vocabulary)
+            typo = list(" ".join(w))
+            typo[rng.randrange(len(typo))] = "z"
+            for x in (" ".join(v), "".join(typo)):
+                rows += [(len(rows), " ".join(w)), (len(rows) + 1, x)]
+                a, b = " ".join(w), x
+                near[len(rows) - 1] = (n, distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == "" for i, (n, is_near) in near.items() if is_near and n >= 8)
+    short = [got[i] == "" for i, (n, is_near) in near.items() if is_near and n < 8]
+    assert np.mean(short) > 0.9
+    assert all(got[i] == rows[i][1] for i, (_, is_near) in near.items() if not is_near)
+
+
+def distance(a, b):
+    row = range(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
