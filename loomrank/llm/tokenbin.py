@@ -3,8 +3,9 @@
 Files: ``payload`` holds segments in ascending key order, each a blob of a header, the lengths of its
 documents and their raw ids; ``index`` holds, for each bucket of keys, a minimal perfect hash (levels of bit
 arrays, a key's slot is the rank of its bit) and by slot a stored fingerprint and the document's place.
-Both are written by Spark's own writer, so they lie in whatever store the cluster uses. A lookup reads one
-bucket and one segment whatever the size of the corpus.
+Both are written by Spark's own writer, so they lie in whatever store the cluster uses: the payload in a folder a
+shard, the index in a folder a few dozen buckets. A lookup of some keys lists the folders, opens those of its keys'
+buckets and shards, and there reads the row groups of its buckets and segments.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomrank.llm.common import map_batches, shared_dir
@@ -24,9 +25,13 @@ from loomrank.llm.wordids import word_ids
 
 MAGIC, HEADER = b"LRT1", struct.Struct("<4sIII")
 #: Ids and documents of a segment at most (a longer document has one of its own).
-SEGMENT_IDS, SEGMENT_DOCS = 1 << 19, 4096
-#: Keys of an index bucket on average.
-BUCKET_KEYS = 4096
+SEGMENT_IDS, SEGMENT_DOCS = 1 << 16, 4096
+#: Keys of an index bucket on average; buckets of an index folder.
+BUCKET_KEYS, FOLDER_BUCKETS = 4096, 32
+#: Bytes of a range of documents (as the planner puts them), at most about.
+RANGE_BYTES = 256 << 20
+#: Keys up to which a lookup names the folders it opens; beyond that index and payload are joined whole.
+FEW_KEYS = 10_000
 #: Rows of segment starts that are broadcast at most.
 MAX_BROADCAST_ROWS = 50_000
 
@@ -134,12 +139,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
         if held:
             yield flush()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES) if size < 1 << 60 else 1)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = rows.withColumn("th", F.xxhash64("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "th").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "th").select("doc_id", "text")
-    schema = "shard int, segment int, n_docs int, n_ids long, doc_ids array<long>, lengths array<int>, blob binary"
-    map_batches(ordered, encode, schema).write.option("compression", "zstd").parquet(f"{path}/payload")
-    payload = spark.read.schema(schema).parquet(f"{path}/payload")
+    # a shard is what one task writes, so each of these folders has one file
+    map_batches(ordered, encode, PAYLOAD).write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/payload")
+    payload = read_payload(spark, path)
     n = payload.agg(F.sum("n_docs")).first()[0] or 0
     buckets = max(1, n // BUCKET_KEYS)
     starts = segment_starts(payload)
@@ -154,14 +160,28 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
         cols = [prints(keys)[order].tobytes()] + [table.column(c).to_numpy()[order].astype("<i8").tobytes() for c in PLACE]
         return pa.table({"bucket": table.column("bucket")[:1], "hash": pa.array([h.dump()]), **{c: pa.array([x], pa.binary()) for c, x in zip(["prints", *PLACE], cols, strict=True)}})
 
-    keyed.groupBy("bucket").applyInArrow(index, INDEX).withColumn("buckets", F.lit(buckets)).write.option("compression", "zstd").parquet(f"{path}/index")
+    made = keyed.groupBy("bucket").applyInArrow(index, INDEX).withColumn("buckets", F.lit(buckets)).withColumn("folder", folder_of(F.col("bucket")))
+    made.repartition("folder").sortWithinPartitions("folder", "bucket").write.option("compression", "zstd").partitionBy("folder").parquet(f"{path}/index")
     return path
 
 
+PAYLOAD = "shard int, segment int, n_docs int, n_ids long, doc_ids array<long>, lengths array<int>, blob binary"
 PLACE = ["start", "shard", "segment", "offset", "n_tokens", "copies"]
 INDEX = "bucket long, hash binary, prints binary, " + ", ".join(f"{c} binary" for c in PLACE)
 
 
+def folder_of(bucket) -> Column:
+    return F.floor(bucket / FOLDER_BUCKETS).cast("long")
+
+
+def read_payload(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PAYLOAD).parquet(f"{path}/payload")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX + ", buckets long, folder long").parquet(f"{path}/index")
+
+
 def segment_starts(payload: DataFrame) -> DataFrame:
     """``shard, segment, segment_start``: ids before each segment; only one row a shard meets in one task."""
     sizes = payload.select("shard", "segment", "n_ids")
@@ -180,7 +200,8 @@ def directory(segments: DataFrame, starts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):  # one blob at a time
+                row = b.slice(i, 1).to_pylist()[0]
                 if payload:
                     lengths, ids = read_segment(row["blob"])
                     lengths = lengths.astype(np.int64)
@@ -200,16 +221,19 @@ def directory(segments: DataFrame, starts: DataFrame) -> DataFrame:
     return out
 
 
-def locate(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+def locate(spark: SparkSession, path: str, keys: DataFrame, few: bool = False) -> DataFrame:
     """Places of ``keys(doc_id)`` through the index: ``doc_id, start, shard, segment, offset, n_tokens, copies``.
 
     Each bucket meets its keys only; a key whose slot has another fingerprint is not in the files (but for one
-    in 2**32 strangers) and gives no row.
+    in 2**32 strangers) and gives no row. Of ``few`` keys only the folders of their buckets are opened.
     """
-    table = spark.read.schema(INDEX + ", buckets int").parquet(f"{path}/index")
+    table = read_index(spark, path)
     some = table.select("buckets").first()
     buckets = some[0] if some else 1
     wanted = keys.where("doc_id is not null").select("doc_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    if few:
+        at = sorted(r[0] for r in wanted.select("bucket").distinct().collect())  # FEW_KEYS at most
+        table = table.where(F.col("folder").isin(sorted({b // FOLDER_BUCKETS for b in at})) & F.col("bucket").isin(at))
     names = ["doc_id", *PLACE]
 
     def look(key, wanted: pa.Table, index: pa.Table) -> pa.Table:
@@ -222,16 +246,17 @@ def locate(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
         hit = (slot >= 0) & (np.frombuffer(row["prints"], "<u4")[slot] == prints(ids.view(np.uint64)))
         return pa.table({"doc_id": ids[hit], **{c: np.frombuffer(row[c], "<i8")[slot[hit]] for c in PLACE}})
 
-    return wanted.groupBy("bucket").cogroup(table.drop("buckets").groupBy("bucket")).applyInArrow(look, ", ".join(f"{c} long" for c in names))
+    return wanted.groupBy("bucket").cogroup(table.drop("buckets", "folder").groupBy("bucket")).applyInArrow(look, ", ".join(f"{c} long" for c in names))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """All documents read back from the files: ``doc_id, start, n_tokens, ids_crc32``.
 
     Every key goes through the index to its shard, segment and offset, and meets there the ids that the payload
-    holds at that place. Null keys and later rows of a repeated key have their segment's own directory.
+    holds at that place. Null keys and later rows of a repeated key have their segment's own directory. Empty files
+    give no rows.
     """
-    payload = spark.read.schema("shard int, segment int, n_docs int, n_ids long, doc_ids array<long>, lengths array<int>, blob binary").parquet(f"{path}/payload")
+    payload = read_payload(spark, path)
     found = directory(payload.select("shard", "segment", "doc_ids", "blob"), segment_starts(payload))
     keys = payload.select(F.explode("doc_ids").alias("doc_id"))
     placed = locate(spark, path, keys).select(F.col("doc_id").alias("key"), F.col("start").alias("at"), "shard", "segment", "offset", F.col("n_tokens").alias("size"))
@@ -240,14 +265,25 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """``doc_id, ids`` of some keys: their segments alone are read."""
-    placed = locate(spark, path, keys)
-    payload = spark.read.schema("shard int, segment int, blob binary").parquet(f"{path}/payload")
-    joined = payload.join(placed.select("shard", "segment", "doc_id", "offset", "n_tokens").groupBy("shard", "segment").agg(F.collect_list(F.struct("doc_id", "offset", "n_tokens")).alias("want")), ["shard", "segment"])
+    """``doc_id, ids`` of ``keys(doc_id)``; null keys and keys that aren't in the files give no row, repeated ones one.
+
+    Up to FEW_KEYS keys open the index folders of their buckets and the payload folders of their shards, and nothing
+    else: what is read doesn't grow with the corpus. More keys are joined with index and payload.
+    """
+    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    placed = locate(spark, path, keys, few)
+    payload = read_payload(spark, path).select("shard", "segment", "blob")
+    if few:
+        places = [tuple(r) for r in placed.select("doc_id", "shard", "segment", "offset", "n_tokens").collect()]
+        placed = spark.createDataFrame(places, "doc_id long, shard long, segment long, offset long, n_tokens long")
+        payload = payload.where(F.col("shard").isin(sorted({p[1] for p in places})) & F.col("segment").isin(sorted({p[2] for p in places})))
+    want = placed.groupBy(F.col("shard").cast("int").alias("shard"), F.col("segment").cast("int").alias("segment")).agg(F.collect_list(F.struct("doc_id", "offset", "n_tokens")).alias("want"))
+    joined = payload.join(F.broadcast(want) if few else want, ["shard", "segment"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
                 _, ids = read_segment(row["blob"])
                 out = [(w["doc_id"], ids[w["offset"] : w["offset"] + w["n_tokens"]].tolist()) for w in row["want"]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["doc_id", "ids"])

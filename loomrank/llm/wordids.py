@@ -10,18 +10,34 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
-#: Words kept encoded in each worker: so many new ones, and as many that were new before them.
-MEMO_WORDS = 700_000
-MARKS = frozenset(".,;:!?")
+#: Words kept encoded in each worker, and their characters: so many new ones, and as many that were new before them.
+MEMO_WORDS, MEMO_CHARS = 200_000, 6_000_000
+#: Words that are encoded in one string.
+TOGETHER = 500
+#: Letters (composed, of one byte in Latin-1, behind a blank or not) that are one word to both kinds, then marks that are another.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 #: The unit separators \x1c-\x1f are white space to Python but not to the library.
 UNITS = re.compile("[\x1c-\x1f]")
 WITH_BLANKS = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
 BARE = re.compile("[\\S\x1c-\x1f]+")
 
 
+class ByteChars(dict):
+    """For ``str.translate``: the characters that stand for a character's UTF-8 bytes. Visible bytes of Latin-1 stand for themselves."""
+
+    def __init__(self):
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.of = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
+
+    def __missing__(self, c: int) -> str:
+        self[c] = "".join(self.of[b] for b in chr(c).encode())
+        return self[c]
+
+
 class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,40 +58,82 @@ class WordIds:
             raise ValueError(f"no word cuts are known for {kinds} with {steps}")
         self.lowers = "Lowercase" in steps
         self.size = self.tokenizer.get_vocab_size()
+        self.model, self.chars = self.tokenizer.model, ByteChars()
+        #: ids that end a word in the one kind, that begin one behind a blank in the other
+        end = (lambda t: t.endswith("</w>")) if self.bare else (lambda t: t.startswith("Ġ"))
+        self.edge = np.zeros(self.size, bool)
+        for t, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = end(t)
+        if self.bare and spec["model"].get("end_of_word_suffix") != "</w>":
+            raise ValueError("no word ends are known without a suffix")
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def split(self, text: str) -> list[str]:
         if self.bare:
             return BARE.findall(text) if UNITS.search(text) else text.split()
         return WITH_BLANKS.findall(text)
 
-    def known(self, words: set[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo, self.older = {}, self.memo
-        missing = [w for w in words if w not in self.memo]
-        self.memo.update({w: self.older[w] for w in missing if w in self.older})
-        fresh, ended = set(), []
-        for w in missing:
-            if w in self.memo:
+    def piece(self, word: str) -> bytes:
+        """Ids of one word of the pre-tokenizer."""
+        ids = [t.id for t in self.model.tokenize(word.translate(self.chars))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of many words of letters: encoded in strings of some hundred and cut where a word ends or begins."""
+        out: list[bytes] = []
+        joint = " " if self.bare else ""
+        for i in range(0, len(words), TOGETHER):
+            part = words[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([joint.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = 4 * np.flatnonzero(self.edge[ids])
+            if len(at) != len(part):
+                out += map(self.piece, part)
                 continue
-            key = w.lower() if self.lowers and w.isascii() else w
-            # a single mark behind an ASCII letter is a token of its own in both kinds
-            if len(key) > 1 and key[-1] in MARKS and key[-2].isascii() and key[-2].isalpha():
-                ended.append((w, key[:-1], key[-1]))
-                fresh.update(x for x in ended[-1][1:] if x not in self.memo)
+            flat, stops = ids.tobytes(), (at + 4).tolist() if self.bare else [*at[1:].tolist(), 4 * len(ids)]
+            start = 0
+            for stop in stops:
+                out.append(flat[start:stop])
+                start = stop
+        return out
+
+    def known(self, words: set[str]) -> None:
+        size = sum(map(len, words))
+        if len(self.memo) + len(words) > MEMO_WORDS or self.held + size > MEMO_CHARS:
+            self.memo, self.older, self.held = {}, self.memo, 0
+        memo, older = self.memo, self.older
+        self.held += size
+        other: list[str] = []
+        marked: list[tuple[str, str, str]] = []
+        stems: set[str] = set()
+        missing = words - memo.keys()
+        again = missing & older.keys()
+        memo.update(zip(again, map(older.__getitem__, again), strict=True))
+        for w in missing - again:
+            if m := PLAIN.fullmatch(w):
+                stem, marks = m.groups()
+                key = stem.lower() if self.lowers else stem
+                if key not in memo:
+                    if (known := older.get(key)) is not None:
+                        memo[key] = known
+                    else:
+                        stems.add(key)
+                if marks or key != w:
+                    marked.append((w, key, marks))
             else:
-                if key != w:
-                    ended.append((w, key, ""))
-                if key not in self.memo:
-                    fresh.add(key)
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
+                other.append(w)
+        blank = [w for w in stems if self.bare or w[0] == " "]
+        memo.update(zip(blank, self.pieces(blank), strict=True))
+        memo.update((w, self.piece(w)) for w in stems - memo.keys())
+        for w, key, marks in marked:
+            if marks and marks not in memo:
+                memo[marks] = self.piece(marks)
+            memo[w] = memo[key] + memo[marks] if marks else memo[key]
+        for i in range(0, len(other), 10_000):
+            part = other[i : i + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        for w, stem, mark in ended:
-            self.memo[w] = self.memo[stem] + (self.memo[mark] if mark else b"")
+                memo[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, null as empty; as many texts at a time as the memory has room for."""
@@ -84,9 +142,10 @@ class WordIds:
         at = 0
         while at < len(split):
             some: set[str] = set()
-            to = at
-            while to < len(split) and (to == at or len(some) + len(split[to]) < MEMO_WORDS // 2):
+            to, chars = at, 0
+            while to < len(split) and (to == at or (len(some) + len(split[to]) < MEMO_WORDS // 2 and chars < MEMO_CHARS)):
                 some.update(split[to])
+                chars += len(texts[to] or "")
                 to += 1
             self.known(some)
             get = self.memo.__getitem__
