@@ -45,6 +45,14 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, behind as many underscores as none of the frame's columns has."""
+    taken, mark = {c.lower() for c in df.columns}, "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def release(spark: SparkSession) -> None:
     """Let go of what finished jobs left: Spark deletes shuffle files once the driver has collected their plans."""
     gc.collect()

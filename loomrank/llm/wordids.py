@@ -10,32 +10,19 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 
 import numpy as np
 
 #: Words kept encoded in each worker, and their characters: so many new ones, and as many that were new before them.
-MEMO_WORDS, MEMO_CHARS = 200_000, 6_000_000
+MEMO_WORDS, MEMO_CHARS = 400_000, 16_000_000
 #: Words that are encoded in one string.
 TOGETHER = 500
-#: Letters (composed, of one byte in Latin-1, behind a blank or not) that are one word to both kinds, then marks that are another.
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
-#: The unit separators \x1c-\x1f are white space to Python but not to the library.
-UNITS = re.compile("[\x1c-\x1f]")
-WITH_BLANKS = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
-BARE = re.compile("[\\S\x1c-\x1f]+")
-
-
-class ByteChars(dict):
-    """For ``str.translate``: the characters that stand for a character's UTF-8 bytes. Visible bytes of Latin-1 stand for themselves."""
-
-    def __init__(self):
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.of = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
-
-    def __missing__(self, c: int) -> str:
-        self[c] = "".join(self.of[b] for b in chr(c).encode())
-        return self[c]
+#: Letters (composed, of Latin-1) and marks of ASCII; to both kinds a run of the ones and a run of the others are two words,
+#: but for what an apostrophe begins. The unit separators \x1c-\x1f are white space to Python but not to the library.
+LETTERS, MARKS, END = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{-~", "[ \\t\\n]|\\Z"
+BARE = re.compile(f"[{LETTERS}]+(?=[{MARKS}]|{END})|[{MARKS}]+(?={END})|[\\S\x1c-\x1f]+")
+WITH_BLANKS = re.compile(f" ?[{LETTERS}]+(?=[{MARKS}]|{END})| ?[{MARKS}]+(?={END})|[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
+PLAIN, PLAIN_BEHIND_BLANK = re.compile(f"[{LETTERS}]+"), re.compile(f" [{LETTERS}]+")
 
 
 class WordIds:
@@ -58,7 +45,7 @@ class WordIds:
             raise ValueError(f"no word cuts are known for {kinds} with {steps}")
         self.lowers = "Lowercase" in steps
         self.size = self.tokenizer.get_vocab_size()
-        self.model, self.chars = self.tokenizer.model, ByteChars()
+        self.cut, self.plain = (BARE, PLAIN) if self.bare else (WITH_BLANKS, PLAIN_BEHIND_BLANK)
         #: ids that end a word in the one kind, that begin one behind a blank in the other
         end = (lambda t: t.endswith("</w>")) if self.bare else (lambda t: t.startswith("Ġ"))
         self.edge = np.zeros(self.size, bool)
@@ -71,14 +58,20 @@ class WordIds:
         self.held = 0
 
     def split(self, text: str) -> list[str]:
-        if self.bare:
-            return BARE.findall(text) if UNITS.search(text) else text.split()
-        return WITH_BLANKS.findall(text)
-
-    def piece(self, word: str) -> bytes:
-        """Ids of one word of the pre-tokenizer."""
-        ids = [t.id for t in self.model.tokenize(word.translate(self.chars))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        """Pieces of a text that are encoded alike alone and in it."""
+        if self.lowers and "<|" not in text:  # a special token is told before letters are lowered
+            try:  # beyond Latin-1 lower case is left to the library
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return self.cut.findall(text)
+
+    def singly(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 10_000):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words[i : i + 10_000], add_special_tokens=False)]
+        return out
 
     def pieces(self, words: list[str]) -> list[bytes]:
         """Ids of many words of letters: encoded in strings of some hundred and cut where a word ends or begins."""
@@ -89,7 +82,7 @@ class WordIds:
             ids = np.array(self.tokenizer.encode_batch_fast([joint.join(part)], add_special_tokens=False)[0].ids, "<u4")
             at = 4 * np.flatnonzero(self.edge[ids])
             if len(at) != len(part):
-                out += map(self.piece, part)
+                out += self.singly(part)
                 continue
             flat, stops = ids.tobytes(), (at + 4).tolist() if self.bare else [*at[1:].tolist(), 4 * len(ids)]
             start = 0
@@ -99,41 +92,17 @@ class WordIds:
         return out
 
     def known(self, words: set[str]) -> None:
-        size = sum(map(len, words))
-        if len(self.memo) + len(words) > MEMO_WORDS or self.held + size > MEMO_CHARS:
+        if len(self.memo) + len(words) > MEMO_WORDS or self.held > MEMO_CHARS:
             self.memo, self.older, self.held = {}, self.memo, 0
-        memo, older = self.memo, self.older
-        self.held += size
-        other: list[str] = []
-        marked: list[tuple[str, str, str]] = []
-        stems: set[str] = set()
-        missing = words - memo.keys()
-        again = missing & older.keys()
-        memo.update(zip(again, map(older.__getitem__, again), strict=True))
-        for w in missing - again:
-            if m := PLAIN.fullmatch(w):
-                stem, marks = m.groups()
-                key = stem.lower() if self.lowers else stem
-                if key not in memo:
-                    if (known := older.get(key)) is not None:
-                        memo[key] = known
-                    else:
-                        stems.add(key)
-                if marks or key != w:
-                    marked.append((w, key, marks))
-            else:
-                other.append(w)
-        blank = [w for w in stems if self.bare or w[0] == " "]
-        memo.update(zip(blank, self.pieces(blank), strict=True))
-        memo.update((w, self.piece(w)) for w in stems - memo.keys())
-        for w, key, marks in marked:
-            if marks and marks not in memo:
-                memo[marks] = self.piece(marks)
-            memo[w] = memo[key] + memo[marks] if marks else memo[key]
-        for i in range(0, len(other), 10_000):
-            part = other[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
+        missing = words - self.memo.keys()
+        again = missing & self.older.keys()
+        self.memo.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        fresh = missing - again
+        self.held += sum(map(len, missing))
+        plain = [w for w in fresh if self.plain.fullmatch(w)]
+        self.memo.update(zip(plain, self.pieces(plain), strict=True))
+        other = list(fresh.difference(plain))
+        self.memo.update(zip(other, self.singly(other), strict=True))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, null as empty; as many texts at a time as the memory has room for."""
