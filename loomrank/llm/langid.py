@@ -8,12 +8,12 @@ nearest codeword and flags documents whose second-nearest is close.
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ MARGIN = 0.2
 #: Rows out of which limits of the decoding loss are learnt, in all and in a length class, at least; a limit is SLACK times that quantile of their losses,
 #: and never below NEAR (each bit decoded with a probability of about 0.95).
 GATE_ROWS, CLASS_ROWS, QUANTILE, SLACK, NEAR = 200, 40, 0.999, 2.0, 0.05
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII characters that aren't letters become blanks.
 FOLD = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 

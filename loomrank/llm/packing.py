@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loomrank.llm.common import map_batches, materialise
 from loomrank.llm.wordids import word_ids
 
-#: Above so many sources their names are hashed into so many queues.
+#: Queues up to which each document's place is computed from all queues' totals; sources beyond go to shared queues.
 MAX_QUEUES = 4096
 #: Rows of queue bases that are broadcast at most (about 40 bytes each).
 MAX_BROADCAST_ROWS = 50_000
@@ -112,7 +112,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, sequence: i
     """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source`` (and ``ids``).
 
     Windows of ``window_sequences`` sequences hold the sources in their target proportions (default: those of
-    the corpus, so all queues end together); a source that runs dry leaves its share to the others. All
+    the corpus, so all queues end together; a source that ``targets`` doesn't name weighs 1); a source that runs dry leaves its
+    share to the others. Beyond MAX_QUEUES sources those of one weight share queues, each of as much weight as its
+    sources together, so that every weight still gets its proportion; inside a queue sources follow each other. All
     sequences are full but the last, so padding is less than one sequence. A null text is empty (one end
     token), a null source is a queue of its own, repeated rows are documents of their own, no rows give none.
     """
@@ -121,14 +123,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, sequence: i
     sums = table.groupBy("part", "source").agg(F.sum("n").alias("tokens"))
     n_sources = sums.select("source").distinct().count()
     queue = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
+    named = [("-" if k is None else f"+{k}", int(v)) for k, v in (targets or {}).items()] or [("", 1)]
+    weights_of = docs.sparkSession.createDataFrame(named, "t_name string, t_weight long")
+    sums = sums.withColumn("name", queue).join(F.broadcast(weights_of), F.col("name") == F.col("t_name"), "left")
+    sums = sums.select("part", "source", "tokens", "name", F.coalesce("t_weight", F.lit(1)).alias("weight"))
+    queue = F.col("name")
     if n_sources > MAX_QUEUES:
-        queue = F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES)).cast("string")
+        kinds = len({1, *(v for _, v in named)})
+        if kinds > MAX_QUEUES // 2:
+            raise ValueError("too many different target weights")
+        queue = F.concat(F.col("weight").cast("string"), F.lit(":"), F.pmod(F.xxhash64("name"), F.lit(MAX_QUEUES // kinds)).cast("string"))
     ordered = Window.partitionBy("queue").orderBy("part", F.col("source").asc_nulls_first())
-    bases = materialise(sums.withColumn("queue", queue).withColumn("base", F.sum("tokens").over(ordered) - F.col("tokens")))
-    totals = [tuple(r) for r in bases.groupBy("queue").agg(F.sum("tokens").alias("tokens")).orderBy("queue").collect()]  # MAX_QUEUES rows at most
-    names = {q: i for i, (q, _) in enumerate(totals)}
-    weights = [(targets or {}).get(None if q == "-" else q[1:], 1) for q, _ in totals] if targets else None
-    amounts = [t for _, t in totals]
+    bases = materialise(sums.withColumn("queue", queue).drop("name").withColumn("base", F.sum("tokens").over(ordered) - F.col("tokens")))
+    # one row a source and queue first, so that a queue's sources are counted once each
+    by_source = bases.groupBy("queue", "source").agg(F.sum("tokens").alias("tokens"), F.max("weight").alias("weight"))
+    totals = [tuple(r) for r in by_source.groupBy("queue").agg(F.sum("tokens"), F.sum("weight")).orderBy("queue").collect()]  # MAX_QUEUES rows at most
+    names = {q: i for i, (q, _, _) in enumerate(totals)}
+    weights = [w for _, _, w in totals] if targets else None
+    amounts = [t for _, t, _ in totals]
     window = window_sequences * sequence
     side = bases.select(F.col("part").alias("b_part"), F.col("source").alias("b_source"), "queue", "base")
     if bases.count() <= MAX_BROADCAST_ROWS:

@@ -1,14 +1,18 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of labelled documents gives the vocabulary (words and word beginnings that tell the labels
-apart), the weights and the examples. Examples lie in blocks; each block keeps every term's greatest weight, so
-a query's best possible cosine with a block is known before it is opened, and blocks that can't reach the
-k-th best are never scored. Votes of the k nearest are weighted by distance and calibrated by isotonic
+A bounded sample of labelled documents gives the terms (words and word beginnings that tell the labels
+apart), their weights and the examples. The index has a postings list a term, cut into blocks of examples, and every
+block's greatest weight: a query's best possible cosine with a block is known before it is opened, and blocks that
+can't reach the k-th best are never scored. Votes of the k nearest are weighted by distance and calibrated by isotonic
 regression on leave-one-out votes; the neighbours are the evidence.
+
+The cosine is over terms that tell the labels apart, not over all words: with all words neighbours are of like topic
+and length, and the votes say little of the label (the figures are in the README).
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 from collections import Counter
@@ -23,9 +27,10 @@ from loomrank.llm.common import held_out, map_batches
 
 #: Labelled documents that are learnt from at most, by hash of doc_id.
 FIT_ROWS = 8000
-#: Terms of the vocabulary, neighbours that vote, examples of a block.
-TERMS, NEIGHBOURS, BLOCK = 512, 15, 64
-#: Documents of the rarer label that a term must lie in, and times its share there must exceed its share elsewhere.
+#: Neighbours that vote, examples of a block.
+NEIGHBOURS, BLOCK = 15, 64
+#: Documents of label 1 that a term must lie in (a quarter of them where they are few), and times its share there must
+#: exceed its share elsewhere.
 LEAST_DOCS, LEAST_LIFT = 5, 3.0
 WORD = re.compile(r"\w+")
 #: Lengths of word beginnings that are terms besides whole words.
@@ -58,6 +63,50 @@ class Vocabulary:
         return out
 
 
+class BlockMaxIndex:
+    """Postings of sparse vectors (term to weight) by term, in blocks of BLOCK vectors with each block's greatest weight."""
+
+    def __init__(self, vectors: list[dict[int, float]], terms: int):
+        entries = sorted((t, i, w) for i, v in enumerate(vectors) for t, w in v.items())
+        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        self.places = np.array([e[1] for e in entries], np.int64)
+        self.weights = np.array([e[2] for e in entries], float)
+        term = np.array([e[0] for e in entries], np.int64)
+        #: a chunk is what one term has in one block
+        cell = term * max(1, self.blocks) + self.places // BLOCK
+        self.cuts = np.append(np.flatnonzero(np.diff(cell, prepend=-1)), len(cell))
+        first = self.cuts[:-1]
+        self.chunk_block = self.places[first] // BLOCK
+        self.chunk_max = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        #: chunks of each term
+        self.starts = np.searchsorted(term[first], np.arange(terms + 1))
+
+    def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the k nearest vectors that share a term, best first, the earlier on ties; perhaps fewer."""
+        bound = np.zeros(self.blocks)
+        for t, w in query.items():
+            at = slice(self.starts[t], self.starts[t + 1])
+            bound[self.chunk_block[at]] += w * self.chunk_max[at]
+        sims, near = np.zeros(0), np.zeros(0, np.int64)
+        for b in np.argsort(-bound, kind="stable").tolist():
+            # a block that can only tie may still hold an earlier example
+            if bound[b] <= 0 or (len(sims) == k and bound[b] < sims[-1] - 1e-8):
+                break
+            got = np.zeros(BLOCK)
+            for t, w in query.items():
+                lo, hi = self.starts[t], self.starts[t + 1]
+                c = lo + np.searchsorted(self.chunk_block[lo:hi], b)
+                if c < hi and self.chunk_block[c] == b:
+                    part = slice(self.cuts[c], self.cuts[c + 1])
+                    got[self.places[part] - b * BLOCK] += w * self.weights[part]
+            got = np.round(got, 9)
+            hit = np.flatnonzero(got > 0)
+            sims, near = np.append(sims, got[hit]), np.append(near, hit + b * BLOCK)
+            best = np.lexsort((near, -sims))[:k]
+            sims, near = sims[best], near[best]
+        return sims, near
+
+
 class NearestExamples:
     """The fitted model."""
 
@@ -70,83 +119,46 @@ class NearestExamples:
                 seen.setdefault(t, [0, 0])[label] += 1
         n = np.bincount(y, minlength=2)[:2]
         self.base = float((n[1] + 0.5) / (n.sum() + 1))
-        picked = []
-        for t, (a, b) in seen.items():
-            if b >= LEAST_DOCS and (b + 0.5) / (n[1] + 1) >= LEAST_LIFT * (a + 0.5) / (n[0] + 1):
-                cells = np.array([[a, b], [n[0] - a, n[1] - b]], float)
-                expected = cells.sum(1, keepdims=True) * cells.sum(0, keepdims=True) / cells.sum()
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    g = 2 * np.nansum(np.where(cells > 0, cells * np.log(cells / expected), 0))
-                picked.append((-round(float(g), 6), t))
-        chosen = [t for _, t in sorted(picked)[:TERMS]]
+        least = max(1, min(LEAST_DOCS, int(n[1]) // 4))
+        chosen = sorted(t for t, (a, b) in seen.items() if b >= least and (b + 0.5) / (n[1] + 1) >= LEAST_LIFT * (a + 0.5) / (n[0] + 1))
         self.vocabulary = Vocabulary(chosen)
         df = np.array([sum(seen[t]) for t in chosen], float)
-        self.idf = np.log((1 + len(y)) / (1 + df)) + 1
-        vectors = self.vectors(texts)
-        told = np.flatnonzero(vectors.any(1))
+        self.idf = (np.log((1 + len(y)) / (1 + df)) + 1).tolist()
+        vectors = [self.vector(t) for t in texts]
+        told = [i for i, v in enumerate(vectors) if v]
         #: what documents without any term come to
-        silent = y[~vectors.any(1)]
+        silent = y[[i for i, v in enumerate(vectors) if not v]]
         self.silent = float((silent.sum() + self.base) / (len(silent) + 1))
-        self.examples, self.labels = vectors[told], y[told]
+        self.examples, self.labels = [vectors[i] for i in told], y[told]
         self.keys = np.array([-1 if keys[i] is None else keys[i] for i in told], np.int64)
-        blocks = [self.examples[i : i + BLOCK] for i in range(0, len(told), BLOCK)]
-        self.block_max = np.stack([b.max(0) for b in blocks], 1) if blocks else np.zeros((len(chosen), 0))
+        self.index = BlockMaxIndex(self.examples, len(chosen))
         self.steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
-        if len(told):
-            sims, near = self.search(self.examples, NEIGHBOURS + 1)
-            own = near == np.arange(len(told))[:, None]
-            sims, near = np.where(own, -1.0, sims), np.where(own, -1, near)
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :NEIGHBOURS]
-            votes = self.votes(np.take_along_axis(sims, order, 1), np.take_along_axis(near, order, 1))
-            self.steps = isotonic(votes, self.labels)
-
-    def vectors(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.vocabulary.index)))
-        for i, t in enumerate(texts):
-            for j, c in self.vocabulary.counts(t).items():
-                out[i, j] = (1 + np.log(c)) * self.idf[j]
-        norm = np.sqrt((out * out).sum(1, keepdims=True))
-        return np.divide(out, norm, out=out, where=norm > 0)
-
-    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and places of the k nearest examples of each query, best first, the earlier on ties; -1 for none."""
-        n, blocks = len(queries), self.block_max.shape[1]
-        sims, near = np.full((n, k), -1.0), np.full((n, k), -1)
-        if not n or not blocks:
-            return sims, near
-        bound = queries @ self.block_max
-        order = np.argsort(-bound, axis=1, kind="stable")
-        for step in range(blocks):
-            block = order[:, step]
-            # a block that can only tie may still hold an earlier example
-            live = np.flatnonzero(bound[np.arange(n), block] >= np.maximum(sims[:, -1], 1e-12) - 1e-9)
-            if not len(live):
-                break
-            for b in np.unique(block[live]):
-                q = live[block[live] == b]
-                first = b * BLOCK
-                got = np.round(queries[q] @ self.examples[first : first + BLOCK].T, 9)
-                got[got <= 0] = -1.0
-                places = np.broadcast_to(np.arange(first, first + got.shape[1]), got.shape)
-                s, p = np.concatenate([sims[q], got], 1), np.concatenate([near[q], np.where(got > 0, places, -1)], 1)
-                best = np.lexsort((np.where(p < 0, 1 << 40, p), -s), axis=1)[:, :k]
-                sims[q], near[q] = np.take_along_axis(s, best, 1), np.take_along_axis(p, best, 1)
-        return sims, near
-
-    def votes(self, sims: np.ndarray, near: np.ndarray) -> np.ndarray:
+        if told:
+            votes = []
+            for i, v in enumerate(self.examples):
+                sims, near = self.index.nearest(v, NEIGHBOURS + 1)
+                other = near != i
+                votes.append(self.vote(sims[other][:NEIGHBOURS], near[other][:NEIGHBOURS]))
+            self.steps = isotonic(np.array(votes), self.labels)
+
+    def vector(self, text: str | None) -> dict[int, float]:
+        """TF-IDF of the text's terms, of length 1; empty without any."""
+        v = {t: (1 + math.log(c)) * self.idf[t] for t, c in sorted(self.vocabulary.counts(text).items())}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    def vote(self, sims: np.ndarray, near: np.ndarray) -> float:
         """Share of label 1 among the neighbours, weighted by distance, with the base rate as one distant vote."""
-        weight = np.where(near >= 0, 1 / (0.05 + 1 - sims), 0.0)
-        return np.round(((weight * self.labels[near]).sum(1) + self.base) / (weight.sum(1) + 1), 9)
+        weight = 1 / (0.05 + 1 - sims)
+        return round(float(((weight * self.labels[near]).sum() + self.base) / (weight.sum() + 1)), 9)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
-        vectors = self.vectors(texts)
-        told = vectors.any(1)
         out, evidence = np.full(len(texts), self.silent), [[] for _ in texts]
-        if told.any() and len(self.labels):
-            sims, near = self.search(vectors[told], NEIGHBOURS)
-            out[told] = np.interp(self.votes(sims, near), *self.steps)
-            for i, row in zip(np.flatnonzero(told), near, strict=True):
-                evidence[i] = self.keys[row[row >= 0][:3]].tolist()
+        for i, text in enumerate(texts):
+            if len(self.labels) and (v := self.vector(text)):
+                sims, near = self.index.nearest(v, NEIGHBOURS)
+                out[i] = np.interp(self.vote(sims, near), *self.steps)
+                evidence[i] = self.keys[near[:3]].tolist()
         return np.clip(out, 0, 1), evidence
 
 

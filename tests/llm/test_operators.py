@@ -116,12 +116,12 @@ def test_toxicity(spark, docs, empty, labels):
     got = toxicity.toxicity_scores(many, told).collect()
     assert all(r.predicted == int(r.doc_id % 9 == 0) and 0 <= r.score <= 1 for r in got)
     model = toxicity.NearestExamples([i for i, _ in rows], [t for _, t in rows], [int(i % 9 == 0) for i, _ in rows])
-    v = model.vectors([t for _, t in rows])
-    sims, near = model.search(v, 5)
-    full = np.round(v @ model.examples.T, 9)
-    for q in range(len(v)):
-        best = [j for j in sorted(range(full.shape[1]), key=lambda j: (-full[q, j], j)) if full[q, j] > 0][:5]
-        assert near[q][near[q] >= 0].tolist() == best
+    for _, text in rows:
+        v = model.vector(text)
+        sims, near = model.index.nearest(v, 5)
+        full = [round(sum(w * e.get(t, 0.0) for t, w in v.items()), 9) for e in model.examples]
+        best = [j for j in sorted(range(len(full)), key=lambda j: (-full[j], j)) if full[j] > 0][:5]
+        assert near.tolist() == best and np.allclose(sims, [full[j] for j in best], atol=2e-9)
     assert toxicity.toxicity_scores(docs, labels).count() == len(ROWS)
     assert toxicity.toxicity_scores(docs, labels.where("toxic > 1")).count() == len(ROWS)
     assert toxicity.toxicity_scores(empty, labels).count() == 0
