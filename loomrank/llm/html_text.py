@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from loomrank.llm.common import map_batches
 
 #: Hashed path and word features, plain features, LSTM cells a direction.
-PATH, WORDS, PLAIN, CELLS = 96, 32, 6, 20
+PATH, WORDS, PLAIN, CELLS = 96, 64, 6, 20
 #: Training pages and passes.
 PAGES, PASSES = 640, 26
 #: Leaves of one padded batch at most.
@@ -33,20 +34,101 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Elements that an opening block tag closes by implication.
 IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+# Fixed values of HTML: elements whose content is plain characters up to their end tag.
+RAW = frozenset("script style textarea title iframe noframes xmp".split())
+#: What may follow in a tag: its end, or a value in quotes.
+STOP = re.compile(r"""[>]|=[ \t\n\f\r]*(["'])""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+UNSEEN = re.compile(r"""style\s*=\s*["']?[^"'>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|aria-hidden\s*=\s*["']?true""", re.I)
+BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
 PART = re.compile(r"[a-z]+")
+#: Open elements of a path that features are made of, the innermost; characters of a tag's attributes that are looked at.
+DEPTH, ATTRIBUTES = 64, 1 << 16
+
+
+class Tags:
+    """Tags of a page one by one, in time that grows with its length: what isn't found once isn't looked for again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.gone: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def end_of(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag; a quote that is never closed doesn't count."""
+        while m := STOP.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            closed = self.find(m[1], m.end())
+            at = closed + 1 if closed >= 0 else m.end()
+        return len(self.page)
+
+    def after_raw(self, name: str, at: int) -> int:
+        """Place of the end tag of an element of plain characters; the page's end without one."""
+        if name in self.gone:
+            return len(self.page)
+        m = RAW_ENDS[name].search(self.page, at)
+        if not m:
+            self.gone.add(name)
+        return m.start() if m else len(self.page)
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """Start and end of each tag or comment, its name in lower case ('' for comments), whether it is an end tag, its attributes."""
+        page, at = self.page, 0
+        while (start := self.find("<", at)) >= 0:
+            mark = page[start + 1 : start + 2]
+            if mark == "!" or mark == "?":
+                end = self.find("-->", start + 4) if page.startswith("<!--", start) else self.find(">", start)
+                at = len(page) if end < 0 else end + (3 if page.startswith("<!--", start) else 1)
+                yield start, at, "", False, ""
+                continue
+            ending = mark == "/"
+            m = NAME.match(page, start + 1 + ending)
+            if not m:
+                at = start + 1
+                continue
+            stop = self.end_of(m.end())
+            name, at = m[0].lower(), min(stop + 1, len(page))
+            yield start, at, name, ending, page[m.end() : min(stop, m.end() + ATTRIBUTES)]
+            if name in RAW and not ending:
+                at = self.after_raw(name, at)
+                yield at, at, "", False, ""
+
+
+RAW_ENDS = {n: re.compile(f"</{n}(?=[\\s/>])", re.I) for n in RAW}
+
+
+def unseen(name: str, attributes: str) -> bool:
+    """Whether an element is never shown."""
+    if name in HIDDEN:
+        return True
+    low = attributes.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    return bool(UNSEEN.search(attributes) or BARE_HIDDEN.search(QUOTED.sub('""', attributes)))
 
 
 def leaves(page: str | None) -> list[tuple[tuple[str, ...], str, int, int]]:
     """Leaf blocks in page order: path of open elements, text with white space collapsed, characters in links, tags inside.
 
-    Character references are decoded; a line break is white space; unclosed and misnested tags are tolerated.
+    Character references are decoded; a line break is white space; unclosed and misnested tags are tolerated. What is
+    never shown (``HIDDEN`` elements, ``hidden``, ``aria-hidden``, ``display:none``) is no text.
     """
     out: list[tuple[tuple[str, ...], str, int, int]] = []
-    stack: list[tuple[str, str]] = []
+    #: open block elements and open unseen elements: name, label, whether unseen
+    stack: list[tuple[str, str, bool]] = []
+    opened: Counter[str] = Counter()
     run: list[str] = []
-    linked = tags = in_link = 0
+    linked = tags = in_link = dark = 0
     path: tuple[str, ...] = ()
     page = page or ""
 
@@ -60,35 +142,55 @@ def leaves(page: str | None) -> list[tuple[tuple[str, ...], str, int, int]]:
 
     def text_at(a: int, b: int) -> None:
         nonlocal linked
-        if a < b:
+        if a < b and not dark and not raw:
             run.append(page[a:b])
             if in_link:
                 linked += b - a
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        text_at(at, m.start())
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
+    def pop() -> None:
+        nonlocal dark
+        name, _, is_unseen = stack.pop()
+        opened[name] -= 1
+        dark -= is_unseen
+
+    def push(name: str, label: str, is_unseen: bool) -> None:
+        nonlocal dark
+        stack.append((name, label, is_unseen))
+        opened[name] += 1
+        dark += is_unseen
+
+    at, raw = 0, False
+    for start, end, name, ending, attributes in Tags(page):
+        text_at(at, start)
+        at = end
+        raw = not ending and name in RAW
+        if not name or raw:
             continue
-        ending = m[2] == "/"
-        if name in BLOCKS:
+        if name == "body" and not ending:
+            while opened["head"]:
+                pop()
+        block = name in BLOCKS
+        if block:
             close()
-            if ending:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-            elif name not in VOID:
+        if ending:
+            if opened[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+        elif name not in VOID:
+            if block:
                 gone = IMPLIED.get(name, frozenset()) | ({"p"} if name in ENDS_P else frozenset())
                 while stack and stack[-1][0] in gone:
-                    stack.pop()
-                names = " ".join(x for t in NAMES.findall(m[4]) for x in t if x) if m[4] else ""
-                stack.append((name, f"{name} {names}".lower()))
-            path = tuple(s[1] for s in stack)
+                    pop()
+            is_unseen = unseen(name, attributes) and not attributes.endswith("/")
+            if block or is_unseen:
+                names = " ".join(x for t in NAMES.findall(attributes) for x in t if x) if attributes else ""
+                push(name, f"{name} {names}".lower(), is_unseen)
+        if block:
+            path = tuple(s[1] for s in stack[-DEPTH:] if s[0] in BLOCKS)
         elif name == "br":
-            run.append(" ")
+            if not dark:
+                run.append(" ")
         elif name == "a":
             in_link = 0 if ending else 1
             tags += 1
@@ -112,12 +214,18 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
+@lru_cache(maxsize=100_000)
+def word_place(word: str) -> int:
+    return xxhash.xxh32_intdigest(word) % WORDS
+
+
 def vector(leaf: tuple[tuple[str, ...], str, int, int], i: int, n: int, longest: int) -> np.ndarray:
     path, text, linked, tags = leaf
     v = np.zeros(PATH + WORDS + PLAIN, np.float32)
     v[:PATH] = path_vector(path)
-    for w in text[:80].lower().split()[:6]:
-        v[PATH + xxhash.xxh32_intdigest(w) % WORDS] = 0.25
+    at = np.array([word_place(w) for w in text.lower().split()])
+    counts = np.bincount(at, minlength=WORDS)
+    v[PATH : PATH + WORDS] = counts / (3 + np.sqrt((counts * counts).sum()))  # the words of short blocks say little
     size = len(text)
     v[PATH + WORDS :] = (np.log1p(size) / 6, min(1.0, linked / max(1, size)), min(1.0, tags / 8), i / max(1, n), float(text[-1] in ".!?"), size / max(1, longest))
     return v
