@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from loomrank.functions import scores as S
 from loomrank.operators import retrieval as R
 from loomrank.operators import scoring
-from loomrank.plans import matching, records
+from loomrank.plans import matching, postings, profiles, records
+
+PLANS = (matching, records, postings, profiles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return matching.QUERIES | records.QUERIES
+    return {k: f for plan in PLANS for k, f in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return matching.ORACLE_SQL | records.ORACLE_SQL
+    return {k: sql for plan in PLANS for k, sql in plan.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str, limit: int = 100) -> DataFrame:

@@ -63,11 +63,16 @@ def digits_for_words(text: Column) -> Column:
     return text
 
 
+def months_of(sentence: Column) -> Column:
+    """Different numbers of months, 1 to 24, of one sentence in which durations are digits, in order."""
+    found = F.transform(F.regexp_extract_all(sentence, F.lit(rf"(?i)(?<!{WORD})(\d{{1,2}})\s*[-–]?\s*month"), F.lit(1)), lambda m: m.cast("int"))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda m: m.between(1, 24))))
+
+
 def term_months(text: Column) -> Column:
     """Months, 1 to 24, of the first sentence that names any; null if none does."""
     sentences = F.split(digits_for_words(F.coalesce(text, F.lit(""))), r"[\n;.](?:\s|$)")
-    found = F.transform(sentences, lambda s: F.filter(F.transform(F.regexp_extract_all(s, F.lit(rf"(?i)(?<!{WORD})(\d{{1,2}})\s*[-–]?\s*month"), F.lit(1)), lambda m: m.cast("int")), lambda m: m.between(1, 24)))
-    return F.array_sort(F.array_distinct(F.get(F.filter(found, lambda m: F.size(m) > 0), F.lit(0))))
+    return F.get(F.filter(F.transform(sentences, months_of), lambda m: F.size(m) > 0), F.lit(0))
 
 
 def sentences(text: Column, least: int = 25, longest: int = 600) -> Column:

@@ -32,8 +32,8 @@ def weighted_terms(chunks: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: Column, query: DataFrame) -> DataFrame:
     """``key, score`` of the documents with a query term; ``query(term, weight)``.
 
-    Lengths are taken per row before the explode, and only query terms are exploded, so what is shuffled grows
-    with the matches and not with the corpus.
+    Tokens meet the broadcast query terms in the task that makes them, so what is shuffled grows with the matches and not
+    with the corpus; document frequencies are counted over that same shuffle.
     """
     toks = docs.select(key, tokens(text).alias("toks"))
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("mean")).first()

@@ -14,21 +14,6 @@ TIMED = ["MMM d, yyyy h:mm a", "MMMM d, yyyy h:mm a", "MMM d, yyyy H:mm", "MMMM
 DATED = ["MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd", "d MMM yyyy", "d-MMM-yyyy", "yyyy-MM-dd"]
 
 
-def is_closed(status: Column, is_open: Column) -> Column:
-    return F.lower(collapse(status)).isin(CLOSED) | (F.coalesce(is_open, F.lit(True)) == F.lit(False))
-
-
-def deadline_passed(value: Column, now: str, zone: str = "America/Toronto") -> Column:
-    """Whether a free-form deadline lies before ``now`` (local time of the zone); a date lasts to its end, what can't be read hasn't passed."""
-    text = F.trim(F.coalesce(value, F.lit("")))
-    for pattern, by in ((r"(?i)\s*\((?:EST|EDT|ET)\)\s*$", ""), (r"(?i)\s+(?:EST|EDT|ET)$", ""), (r"(?i)\s+at\s+", " "), (r"(?i)(?<=\d)(?:st|nd|rd|th)\b", "")):
-        text = F.regexp_replace(text, pattern, by)
-    day = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATED]).cast("date")
-    moment = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIMED])
-    local = F.to_timestamp(F.lit(now))
-    return F.coalesce(F.when(day.isNotNull(), day < local.cast("date")).when(moment.isNotNull(), moment < local), F.lit(False))
-
-
 def split_by_reason(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """``df`` with ``reason``: the first rule that holds, empty for rows that stay."""
     reason = F.lit("")

@@ -19,9 +19,10 @@ def coverage(criteria: DataFrame, key: str) -> DataFrame:
         here = F.col("category") == name
         aggs += [F.sum(F.when(here, w * c)).alias(f"{name}_credit"), F.sum(F.when(here, w)).alias(f"{name}_weight")]
     aggs += [
-        F.round(F.sum(F.when(must, w * c)) / F.sum(F.when(must, w)), 6).alias("must_have_coverage"),
+        # the hair added before rounding lifts exact halves off the edge, where engines part
+        F.round(F.sum(F.when(must, w * c)) / F.sum(F.when(must, w)) + 1e-9, 6).alias("must_have_coverage"),
         F.count(F.when(F.col("importance") == "must", 1)).alias("must_have_count"),
-        F.round(F.sum(F.when(shown, w * F.col("recency"))) / F.sum(F.when(shown, w)), 6).alias("evidence_recency"),
+        F.round(F.sum(F.when(shown, w * F.col("recency"))) / F.sum(F.when(shown, w)) + 1e-9, 6).alias("evidence_recency"),
         F.max(((F.col("category") == "eligibility") & (F.col("status") == "conflict")).cast("int")).alias("conflict"),
     ]
     return criteria.groupBy(key).agg(*aggs)

@@ -92,24 +92,18 @@ def rrf_fusion(spark, sf_dir):
     return fused_documents(spark, sf_dir).select("doc_id", "r_lex", "r_sem", "fused")
 
 
-def cascaded(spark, sf_dir):
+def cascade_pool(spark, sf_dir):
     """Every document in the order of the cascade; those outside the pool have no judge."""
     judged = fused_documents(spark, sf_dir).withColumn("logit", (F.col("doc_id") * 37 % 101).cast("double") / 10 - 5)
     return R.cascade(judged, "doc_id", "fused", "logit").select("doc_id", "fused", F.when(F.col("logit").isNotNull(), F.round(S.sigmoid(F.col("logit")), 6)).alias("judge"), "pos")
 
 
-def cascade_pool(spark, sf_dir):
-    """The pool alone, as its SQL twin has it."""
-    return cascaded(spark, sf_dir).where(F.col("pos") <= S.POOL)
-
-
 def calibrated_relevance(spark, sf_dir):
     sem = F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 100) / 100.0)
     return scored(spark, sf_dir).select("doc_id", S.relevance(F.col("score"), sem).alias("relevance"))
 
 
-def local_scores(spark, sf_dir):
-    """The score of every document."""
+def score_local(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("toks"))
     skills = F.array_intersect("toks", F.array(*[F.lit(s) for s in ("idiot", "licensed", "que", "und", "les")]))
     df = docs.join(scored(spark, sf_dir), "doc_id", "left")
@@ -119,16 +113,11 @@ def local_scores(spark, sf_dir):
     return C.score_local(df, S.relevance(F.coalesce("score", F.lit(0.0)), F.lit(None).cast("double")), rec, overlap, pref).select("doc_id", "score")
 
 
-def score_local(spark, sf_dir):
-    """The scores above 40 alone, as its SQL twin has them."""
-    return local_scores(spark, sf_dir).where("score > 40")
-
-
 SCORE_LOCAL_SQL = f"""with {BM25_SQL}, s as (select d.doc_id, documents.lang, documents.source, list_intersect(list_distinct(d.toks), ['idiot','licensed','que','und','les']) as sk, round(coalesce(score, 0) / (coalesce(score, 0) + 12), 6) as rel, case when d.doc_id % 3 <> 0 then round(0.4 + 0.6 * pow(0.5, (d.doc_id % 48) / 24.0), 4) end as rec from d join documents on d.doc_id = documents.doc_id left join bm on d.doc_id = bm.doc_id),
  v as (select doc_id, greatest(0, least(1, rel))::double as rel, case when rec is not null then rec * greatest(0, least(1, rel)) end as rec, case when len(sk) > 0 then list_sum(list_transform(sk, lambda x: case x when 'que' then 1.0 when 'und' then 0.75 when 'les' then 0.5 else 0.0 end::double)) / len(sk) end as ov, ((case when lang = 'en' then 1 else 0 end) + (case when source = 'src0' then 1 else 0 end)) / 2.0::double as pf from s),
  b as (select *, 65.0::double + case when rec is null then 0 else 15 end + case when ov is null then 0 else 25 end as b from v),
  o as (select doc_id, round(100 * 55.0::double / b * rel + coalesce(100 * 15.0::double / b * rec, 0) + coalesce(100 * 25.0::double / b * ov, 0) + 100 * 10.0::double / b * pf, 4) as score from b)
- select doc_id, score from o where score > 40"""
+ select doc_id, score from o"""
 
 
 def lexical_overlap_winner(spark, sf_dir):
@@ -158,7 +147,7 @@ ORACLE_SQL = {
     "bm25_topk": f"with {BM25_SQL} select doc_id, score, round(score / (score + 12), 6) as relevance from bm order by score desc, doc_id limit 100",
     "maxsim_by_group": MAXSIM_SQL,
     "rrf_fusion": f"{FUSED_SQL} select doc_id, r_lex, r_sem, fused from f",
-    "cascade_pool": f"{FUSED_SQL}, h as (select doc_id, fused, (doc_id * 37 % 101)::double / 10 - 5 as logit from f order by fused desc, doc_id limit 150) select doc_id, fused, round(1 / (1 + exp(-logit)), 6) as judge, row_number() over (order by logit desc, fused desc, doc_id) as pos from h",
+    "cascade_pool": f"{FUSED_SQL}, h as (select doc_id, fused, (doc_id * 37 % 101)::double / 10 - 5 as logit, row_number() over (order by fused desc, doc_id) as r from f) select doc_id, fused, round(1 / (1 + exp(-logit)), 6) as judge, row_number() over (order by logit desc, fused desc, doc_id) as pos from h where r <= 150 union all select doc_id, fused, null, r from h where r > 150",
     "calibrated_relevance": f"with {BM25_SQL}, s as (select doc_id, score / (score + 12) as lex, case when doc_id % 7 <> 0 then (doc_id % 100) / 100.0::double end as sem from bm) select doc_id, round(case when sem is null then lex else 0.7 * greatest(0.0, least(1.0, (sem - 0.35) / (0.80::double - 0.35))) + (1 - 0.7::double) * lex end, 6) as relevance from s",
     "score_local": SCORE_LOCAL_SQL,
     "lexical_overlap_winner": f"with i as (select item_id, unnest(list_distinct({sql_tokens('text')})) as term from benchmark), d as (select doc_id, unnest(list_distinct({sql_tokens('text')})) as term from documents), s as (select doc_id, item_id, count(*) as shared from d join i using (term) group by all) select doc_id, item_id, shared from (select *, row_number() over (partition by doc_id order by shared desc, item_id) as rn from s) where rn = 1",

@@ -10,11 +10,12 @@ from loomrank.functions import text as T
 from loomrank.operators import retrieval as R
 from loomrank.operators import rules, scoring
 from loomrank.plans.matching import read, sql_collapse
+from loomrank.plans.sqltext import sql_digits, sql_mentions
 from loomrank.sources import html as H
 from loomrank.streaming.upsert import stream_upsert
 
 NOW = "2024-01-20 12:00:00"
-TERMS = [(1, "An uninterrupted eight-month placement is mandatory."), (2, "A 8 month work term is required."), (3, "An eight-month placement is preferred, but four-month placements are equally eligible."), (4, "Four-month placement."), (5, "This is a 12 month position."), (6, "We build things.")]
+TERMS = [(1, "You stay for eight-month blocks, without a break."), (2, "Every term is 8 month long."), (3, "Twelve-month terms come first, though four-month ones count the same."), (4, "Four-month stay."), (5, "Plan for a 12 month contract."), (6, "Tea is free.")]
 TERM_VALUES = ", ".join(f"({i}, '{t}')" for i, t in TERMS)
 SKILLS = {"Th": ["the"], "On": ["on", "onto"], "Er": ["er"], "And": ["and"], "Python": ["python", "python3"]}
 
@@ -66,7 +67,7 @@ def criteria(spark, sf_dir):
 
 CRITERIA_SQL = """c as (select l_orderkey, (['technical','experience','domain','eligibility','soft'])[l_linenumber % 5 + 1] as cat, case when l_linestatus = 'O' then 'must' else 'preferred' end as imp, case when l_linestatus = 'O' then 2.0 else 1.0 end::double as w, case l_returnflag when 'A' then 1.0 when 'N' then 0.6 else 0.0 end::double as cr, case when l_linenumber <> 4 then round(0.4 + 0.6 * pow(0.5, (2000 - year(l_shipdate)) * 12 / 24.0), 4) end as rec from lineitem),
  g as (select l_orderkey, sum(w * cr) filter (cat = 'technical') as tc, sum(w) filter (cat = 'technical') as tw, sum(w * cr) filter (cat = 'experience') as ec, sum(w) filter (cat = 'experience') as ew, sum(w * cr) filter (cat = 'domain') as dc, sum(w) filter (cat = 'domain') as dw,
-  round(sum(w * cr) filter (imp = 'must' and cat in ('technical','experience','domain')) / sum(w) filter (imp = 'must' and cat in ('technical','experience','domain')), 6) as must_have_coverage, count(*) filter (imp = 'must') as must_have_count, round(sum(w * rec) filter (cr > 0 and rec is not null) / sum(w) filter (cr > 0 and rec is not null), 6) as evidence_recency from c group by l_orderkey),
+  round(sum(w * cr) filter (imp = 'must' and cat in ('technical','experience','domain')) / sum(w) filter (imp = 'must' and cat in ('technical','experience','domain')) + 1e-9, 6) as must_have_coverage, count(*) filter (imp = 'must') as must_have_count, round(sum(w * rec) filter (cr > 0 and rec is not null) / sum(w) filter (cr > 0 and rec is not null) + 1e-9, 6) as evidence_recency from c group by l_orderkey),
  p as (select *, case when tw > 0 then 35 else 0 end + case when ew > 0 then 40 else 0 end + case when dw > 0 then 25 else 0 end as present, 100 - case when evidence_recency is not null then 10 else 0 end as budget from g)"""
 
 
@@ -88,13 +89,24 @@ def preference_fraction(spark, sf_dir):
 
 
 def quote_verify(spark, sf_dir):
-    """Quotes and documents meet on three words of the quote; where they do, the whole quote is looked for."""
-    quotes = read(spark, sf_dir, "benchmark").select("item_id", T.collapse(F.col("text")).alias("quote")).withColumn("q", F.split("quote", " ")).where("length(quote) >= 8 and size(q) >= 5")
-    keys = R.small(quotes.select("item_id", "quote", F.xxhash64(F.get("q", F.lit(1)), F.get("q", F.lit(2)), F.get("q", F.lit(3))).alias("key")))
+    """Quotes and documents meet on a hash; where they do, the whole quote is looked for in the body.
+
+    The words of a long quote but its first and last are words of the body too, so quotes of five words meet on their
+    second to fourth. Shorter ones meet on their first eight characters; bodies are cut so finely only if there are any.
+    """
+    quotes = read(spark, sf_dir, "benchmark").select("item_id", T.collapse(F.col("text")).alias("quote")).withColumn("q", F.split("quote", " ")).where("length(quote) >= 8")
     docs = read(spark, sf_dir, "documents").select("doc_id", T.collapse(F.col("text")).alias("body")).withColumn("words", F.split("body", " "))
     grams = F.transform("words", lambda w, i: F.xxhash64(w, F.get(F.col("words"), i + 1), F.get(F.col("words"), i + 2)))
-    hits = docs.select("doc_id", "body", F.explode(F.array_distinct(grams)).alias("key")).join(keys, "key")
-    return hits.where(F.instr("body", F.col("quote")) > 0).select("item_id", "doc_id").distinct()
+    long = quotes.where("size(q) >= 5").select("item_id", F.xxhash64(F.get("q", F.lit(1)), F.get("q", F.lit(2)), F.get("q", F.lit(3))).alias("key"))
+    hits = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(R.small(long), "key").select("doc_id", "item_id")
+    short = quotes.where("size(q) < 5").select("item_id", F.xxhash64(F.substring("quote", 1, 8)).alias("key"))
+    if not short.isEmpty():
+        places = F.sequence(F.lit(1), F.greatest(F.length("body") - 7, F.lit(1)))
+        pieces = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring("body", i, F.lit(8)))))
+        hits = hits.unionByName(docs.select("doc_id", F.explode(pieces).alias("key")).join(R.small(short), "key").select("doc_id", "item_id"))
+    # bodies are fetched for the few that meet
+    both = docs.select("doc_id", "body").join(hits.distinct(), "doc_id").join(R.small(quotes.select("item_id", "quote")), "item_id")
+    return both.where(F.instr("body", F.col("quote")) > 0).select("item_id", "doc_id").distinct()
 
 
 def quote_block_first(spark, sf_dir):
@@ -133,8 +145,7 @@ def months_of(orders, li):
 
 
 def months_between_incl(spark, sf_dir):
-    """Orders above 300,000 alone, as its SQL twin has them."""
-    return months_of(read(spark, sf_dir, "orders").where("o_totalprice > 300000"), read(spark, sf_dir, "lineitem"))
+    return months_of(read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem"))
 
 
 def event_rows(spark, sf_dir):
@@ -198,16 +209,6 @@ def final_rank(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (dedupe_richest, eligibility_split, run_counters, keyword_mentions, clause_rule_filter, shortest_term, score_criteria, must_have_coverage, evidence_recency, preference_fraction, quote_verify, quote_block_first, interval_attribution, segment_blocks, skill_tiers, months_between_incl, upsert_latest_nonblank, retire_off_board, fresh_details, kind_counts, content_hash_groups, csv_guard, url_allowlist, html_fields, near_tie_pairs, final_rank, stream_upsert)}
 
 
-def sql_mentions(x: str, word: str) -> str:
-    return rf"regexp_matches(replace(lower(coalesce({x}, '')), 'ß', 'ss'), '(^|[^\p{{L}}\p{{N}}_]){word}([^\p{{L}}\p{{N}}_]|$)')"
-
-
-def sql_digits(x: str) -> str:
-    for word, n in T.NUMBER_WORDS.items():
-        x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_-]){word}(\s*[-–]?\s*)(month|week|term)', '\g<1>{n}\2\3', 'gi')".replace(r"\g<1>", r"\1")
-    return x
-
-
 SKILL_CASES = " union all ".join(f"select conv_id, role, '{k}' as skill from conversations where " + " or ".join(sql_mentions("text", a) for a in names) for k, names in SKILLS.items())
 ORACLE_SQL = {
     "dedupe_richest": f"select sha256({sql_collapse('text')}) as grp, arg_max(doc_id, {{'a': n_chars, 'b': -doc_id}}) as kept, min(doc_id) as first_seen, count(*) as n, max(case when source = 'src0' then 1 else 0 end) as closed from documents group by 1",
@@ -220,12 +221,12 @@ ORACLE_SQL = {
     "must_have_coverage": f"with {CRITERIA_SQL} select l_orderkey, must_have_coverage, must_have_count from p",
     "evidence_recency": f"with {CRITERIA_SQL} select l_orderkey, evidence_recency from p",
     "preference_fraction": f"select p_partkey, round(((case when {sql_mentions('p_name', '1')} or {sql_mentions('p_type', 'steel')} then 1.0 else 0.0 end) + (case when {sql_mentions('p_brand', 'brand#11')} then 1.0 else 0.0 end))::double / 2, 6) as fraction from part",
-    "quote_verify": f"with q as (select item_id, {sql_collapse('text')} as quote from benchmark), d as (select doc_id, {sql_collapse('text')} as body from documents) select item_id, doc_id from q, d where length(quote) >= 8 and len(string_split(quote, ' ')) >= 5 and contains(body, quote)",
+    "quote_verify": f"with q as (select item_id, {sql_collapse('text')} as quote from benchmark), d as (select doc_id, {sql_collapse('text')} as body from documents) select item_id, doc_id from q, d where length(quote) >= 8 and contains(body, quote)",
     "quote_block_first": f"with t as (select conv_id, turn, {sql_collapse('text')} as body from conversations), q as (select conv_id, substr(body, 3, 12) as quote from t where turn = 1) select q.conv_id, quote, min(turn) as first_turn from t join q using (conv_id) where length(quote) >= 8 and contains(body, quote) group by all",
     "interval_attribution": "select m.event_id as mention, arg_max(b.event_id, {'a': b.ts, 'b': b.event_id}) as block_event from events m join events b on m.user_id = b.user_id and b.event_type = 'signup' and b.ts <= m.ts where m.event_type = 'error' group by m.event_id",
     "segment_blocks": "with s as (select conv_id, turn, greatest(1, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding))::bigint as block from conversations) select conv_id, block, min(turn) as first_turn, count(*) as lines from s group by all",
     "skill_tiers": f"select conv_id, skill, max(case role when 'user' then 3 when 'assistant' then 2 else 1 end)::bigint as tier from ({SKILL_CASES}) group by all",
-    "months_between_incl": "with m as (select l_orderkey, l_linenumber, l_shipdate, (year(l_shipdate) - year(o_orderdate)) * 12 + month(l_shipdate) - month(o_orderdate) + 1 as months from lineitem join orders on l_orderkey = o_orderkey where o_totalprice > 300000) select l_orderkey, l_linenumber::bigint as l_linenumber, case when months between 1 and 600 then months end as months, greatest(0, (2000 - year(l_shipdate)) * 12 + 1 - month(l_shipdate))::bigint as since from m",
+    "months_between_incl": "with m as (select l_orderkey, l_linenumber, l_shipdate, (year(l_shipdate) - year(o_orderdate)) * 12 + month(l_shipdate) - month(o_orderdate) + 1 as months from lineitem join orders on l_orderkey = o_orderkey) select l_orderkey, l_linenumber::bigint as l_linenumber, case when months between 1 and 600 then months end as months, greatest(0, (2000 - year(l_shipdate)) * 12 + 1 - month(l_shipdate))::bigint as since from m",
     "upsert_latest_nonblank": UPSERT_SQL,
     "retire_off_board": "select d.doc_id, l.doc_id is not null as on_board from documents d left join labels l using (doc_id)",
     "fresh_details": f"select event_id, user_id from events where epoch(timestamp '{NOW}') - floor(epoch(ts)) >= 0 and epoch(timestamp '{NOW}') - floor(epoch(ts)) < 86400 and ts <= timestamp '{NOW}'",

@@ -17,7 +17,7 @@ def plain(v):
     return v.replace(tzinfo=None).isoformat() if hasattr(v, "isoformat") else v
 
 
-@pytest.mark.parametrize("name", catalog.queries())
+@pytest.mark.parametrize("name", catalog.oracle_sql())
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
