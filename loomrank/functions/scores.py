@@ -58,3 +58,9 @@ def sigmoid(x: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def unit(v: Column) -> Column:
+    """A vector at length 1; a vector of nothing stays."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-12)))

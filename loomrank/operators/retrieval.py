@@ -93,3 +93,19 @@ def cascade(df: DataFrame, key: str, fused: str, judge: str, pool: int = S.POOL)
     head = ranked.where(F.col("pos") <= pool).withColumn("pos", F.row_number().over(by).cast("long"))
     tail = ranked.where(F.col("pos") > pool).withColumn(judge, F.lit(None).cast(df.schema[judge].dataType))
     return head.unionByName(tail)
+
+
+def lexical_only(df: DataFrame, lexical: str) -> DataFrame:
+    """``df`` with ``fused`` where there are no similarities: the lexical score over the greatest one, or over 1 if that is 0."""
+    most = df.agg(F.max(lexical).alias("__most"))
+    return df.join(F.broadcast(most)).withColumn("fused", F.col(lexical) / F.coalesce(F.nullif("__most", F.lit(0.0)), F.lit(1.0))).drop("__most")
+
+
+def shortlist(df: DataFrame, key: str, fused: str, k: int) -> DataFrame:
+    """The k best rows with ``pos``, best first; all of them for k = 0."""
+    order = (F.col(fused).desc(), F.col(key).asc())
+    return global_rank(df.orderBy(*order).limit(k) if k else df, "pos", *order)
+
+
+def clamped(limit: int, most: int = 100) -> int:
+    return max(1, min(most, limit))

@@ -12,7 +12,7 @@ from loomrank.operators import rules, scoring
 from loomrank.plans.matching import read, sql_collapse
 from loomrank.plans.sqltext import sql_digits, sql_mentions
 from loomrank.sources import html as H
-from loomrank.streaming.upsert import stream_upsert
+from loomrank.streaming.upsert import stream_distinct, stream_upsert
 
 NOW = "2024-01-20 12:00:00"
 TERMS = [(1, "You stay for eight-month blocks, without a break."), (2, "Every term is 8 month long."), (3, "Twelve-month terms come first, though four-month ones count the same."), (4, "Four-month stay."), (5, "Plan for a 12 month contract."), (6, "Tea is free.")]
@@ -206,7 +206,7 @@ def final_rank(spark, sf_dir):
     return best.orderBy(*order).limit(100).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (dedupe_richest, eligibility_split, run_counters, keyword_mentions, clause_rule_filter, shortest_term, score_criteria, must_have_coverage, evidence_recency, preference_fraction, quote_verify, quote_block_first, interval_attribution, segment_blocks, skill_tiers, months_between_incl, upsert_latest_nonblank, retire_off_board, fresh_details, kind_counts, content_hash_groups, csv_guard, url_allowlist, html_fields, near_tie_pairs, final_rank, stream_upsert)}
+QUERIES = {f.__name__: f for f in (dedupe_richest, eligibility_split, run_counters, keyword_mentions, clause_rule_filter, shortest_term, score_criteria, must_have_coverage, evidence_recency, preference_fraction, quote_verify, quote_block_first, interval_attribution, segment_blocks, skill_tiers, months_between_incl, upsert_latest_nonblank, retire_off_board, fresh_details, kind_counts, content_hash_groups, csv_guard, url_allowlist, html_fields, near_tie_pairs, final_rank, stream_upsert, stream_distinct)}
 
 
 SKILL_CASES = " union all ".join(f"select conv_id, role, '{k}' as skill from conversations where " + " or ".join(sql_mentions("text", a) for a in names) for k, names in SKILLS.items())
@@ -238,4 +238,5 @@ ORACLE_SQL = {
     "near_tie_pairs": "with t as (select o_orderkey, round(o_totalprice, 2) as score from orders order by score desc, o_orderkey limit 1000), p as (select o_orderkey as first, lead(o_orderkey) over (order by score desc, o_orderkey) as second, round(score - lead(score) over (order by score desc, o_orderkey), 2) as gap, row_number() over (order by score desc, o_orderkey) as pos from t) select * from p where gap <= 90",
     "final_rank": "with b as (select o_orderkey, round(o_totalprice, 2) as score, lower(c_name) as company, lower(o_orderpriority) as title from orders join customer on o_custkey = c_custkey order by score desc, company, title, o_orderkey limit 100) select *, row_number() over (order by score desc, company, title, o_orderkey) as rank from b",
     "stream_upsert": UPSERT_SQL,
+    "stream_distinct": "select distinct user_id from events",
 }
