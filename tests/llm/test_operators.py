@@ -198,7 +198,7 @@ def test_lines(spark, docs, empty):
     rows = [(1, a + "\nown line of one\n\n"), (2, "Own  line of ONE\n" + a + "\nlast"), (3, a.replace("lazy", "lazi", 1).strip()), (4, None), (5, "")]
     got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
     assert got[1].text == rows[0][1] and got[2].text == "last" and got[2].n_removed == 2 and got[4].text is None and got[5].text == ""
-    assert got[3].text in ("", rows[2][1])
+    assert got[3].text == ""
     out = linededup.dedup_lines(docs)
     assert out.columns == docs.columns and out.count() == len(ROWS)
     assert linededup.dedup_lines(empty).count() == 0
@@ -206,7 +206,9 @@ def test_lines(spark, docs, empty):
 
 def test_line_simhash(docs):
     for r in linededup.with_simhash(linededup.exploded(docs)).select("words", "sim").collect():
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in r.words]
+        first = [xxhash.xxh64_intdigest(w.encode(), 42) for w in r.words]
+        # pairs of neighbouring words; a word alone where there is one
+        h = [xxhash.xxh64_intdigest(w.encode(), f) for w, f in zip(r.words[1:], first, strict=False)] or first
         assert r.sim % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 

@@ -2,12 +2,18 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers as P
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
 
-from loomrank.llm import flac, langid, linededup, queries
+from loomrank.llm import flac, html_text, langid, linededup, packing, piece, quality, queries, tokenbin
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,3 +101,111 @@ def distance(a, b):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
     return row[-1]
+
+
+def test_rows_that_share_an_id_lose_nothing_of_their_own(spark):
+    rows = [(9, "shared line alpha\nunique to the first row"), (9, "something else entirely\nshared line alpha"), (None, "repeated line here\nalpha only once"), (None, "beta only once\nrepeated line here"), (6, "twice the same\n\n x"), (6, "twice the same\n\n x"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__copy", F.lit("kept"))
+    got = linededup.dedup_lines(docs, counts=True).collect()
+    assert len(got) == len(rows) and all(r["__copy"] == "kept" for r in got)
+    lines = sorted(x for r in got for x in (r.text or "").split("\n") if x.strip())
+    assert lines == sorted([" x", "alpha only once", "beta only once", "repeated line here", "shared line alpha", "something else entirely", "twice the same", "unique to the first row"])
+    assert sorted(r.text for r in got if r.doc_id == 6) == ["", "twice the same\n\n x"]
+    assert [r.text for r in got if r.doc_id in (4, 5)] in ([None, ""], ["", None])
+
+
+def test_long_runs_take_time_in_proportion():
+    bpe, library = piece.PieceBpe(P.path("piece_bpe_32k.model")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for text in (" " * 20_000, "a" * 20_000, " \n" * 3000, "日" * 5000 + "-" * 5000):
+        assert bpe.encode(text) == library.encode(text)
+    began = time.process_time()
+    bpe.encode(" " * 1_000_000)
+    for page in ('<a "' * 250_000, "<div>x" * 150_000, "</x>" * 250_000, "<a b=\"" * 150_000, "<!--" * 250_000, "<script" * 140_000):
+        html_text.leaves(page)
+    assert time.process_time() - began < 60
+
+
+def test_markup_and_unseen_text_are_no_text():
+    for page, want in (('<p title="a>Hello</p><p>x</p>', ["Hello", "x"]), ("<p hidden>no</p><p>yes</p>", ["yes"]), ('<div style="display: none">no<p>no</div>yes', ["yes"]), ('<canvas>no</canvas><i aria-hidden="true">no</i>ok', ["ok"]), ("<head>no<body>b", ["b"]), ('<p title="a hidden gem">seen', ["seen"]), ("a < b", ["a < b"]), ("<script>if(a<b)'</p>'</script >yes<!-- > -->z", ["yesz"]), (None, []), ("", [])):
+        assert [x[1] for x in html_text.leaves(page)] == want
+
+
+def test_late_words_of_a_block_are_seen():
+    block = (("div ",), "plain words " * 40, 0, 0)
+    late = (("div ",), "plain words " * 40 + "advertisement", 0, 0)
+    assert (html_text.vector(block, 0, 1, 500) != html_text.vector(late, 0, 1, 500)).any()
+
+
+def test_numbers_that_look_like_letters_have_no_language(spark):
+    rows = [(i, "ab cd ef" * 4, "aa") for i in range(40)] + [(90, "² ½ Ⅷ", None), (91, None, None), (92, "é", None)]
+    got = {r.doc_id: r.lang_pred for r in langid.language_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[90] == got[91] == "und" and got[92] == "aa"
+
+
+def test_lookups_open_few_files(spark):
+    docs = spark.createDataFrame([(i, f"word{i} of text") for i in range(3000)], "doc_id long, text string").repartition(8)
+    folder = tokenbin.write_tokens(docs, P.path("word_bpe_49k.json"))
+    every = {f for f in tokenbin.read_payload(spark, folder).inputFiles()}
+    got = tokenbin.lookup(spark, folder, spark.createDataFrame([(5,), (5,), (None,), (99999,)], "doc_id long"))
+    assert [r.doc_id for r in got.collect()] == [5]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(every) > 1 and "PartitionFilters: [isnotnull(shard" in plan
+
+
+def test_deficits_carry_over_windows():
+    rng = random.Random(4)
+    for _ in range(30):
+        totals = [rng.randint(0, 300) for _ in range(rng.randint(1, 6))]
+        weights = [rng.randint(1, 9) for _ in totals]
+        mix = packing.Mixture(totals, weights)
+        # one token at a time to the queue whose next token is most overdue: token j falls due at (j + 1/2) / weight
+        given = [0] * len(totals)
+        for n in range(1, sum(totals) + 1):
+            i = min((i for i in range(len(totals)) if given[i] < totals[i]), key=lambda i: ((2 * given[i] + 1) / weights[i], i))
+            given[i] += 1
+            if n % 32 == 0:
+                assert sum(mix.served(n)) == n and all(abs(a - b) <= 1 for a, b in zip(mix.served(n), given, strict=True))
+
+
+def test_target_weights_hold_beyond_the_bound_on_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 40)
+    docs = spark.createDataFrame([(i, "some words here " * 30, f"s{i % 60}") for i in range(240)], "doc_id long, text string, source string")
+    got = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), 0, sequence=64, window_sequences=4, targets={f"s{i}": 50 for i in range(10)})
+    first = {r.f: r.n for r in got.where("sequence_id < 16").groupBy(F.expr("cast(substr(source, 2) as int) < 10").alias("f")).agg(F.sum("length").alias("n")).collect()}
+    assert 0.85 < first[True] / 1024 < 0.96 and got.agg(F.sum("length")).first()[0] == got.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_verdict_is_that_of_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    features = {}
+    for i, t in texts.items():
+        at = []
+        for w in [w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]:
+            at += [xxhash.xxh64_intdigest(w.encode(), 42) % quality.BUCKETS] + [spark_hash(x, k) % quality.BUCKETS for x, k in ((w[:3], 1), (w[-3:], 2))]
+        features[i] = at
+        np.add.at(raw, at, 1)
+        if i in good:
+            np.add.at(target, at, 1)
+    ratio = np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum())
+    for r in quality.quality_report(docs, labels).collect():
+        at = features[r.doc_id]
+        assert (r.log_ratio is None) == (not at)
+        if at:
+            assert abs(r.log_ratio - ratio[at].mean()) < 2e-5
+            assert r.kept == (not r.base_failed and r.log_ratio >= quality.THRESHOLD)
+
+
+def spark_hash(text: str, salt: int) -> int:
+    """xxhash64(text, salt) of the engine: the second value, a 32-bit integer, is hashed with the first's hash as seed."""
+    seed, m = xxhash.xxh64_intdigest(text.encode(), 42), (1 << 64) - 1
+    p1, p2, p3, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5
+    h = (seed + p5 + 4) & m
+    h ^= salt * p1 & m
+    h = ((h << 23 | h >> 41) & m) * p2 + p3 & m
+    h = (h ^ h >> 33) * p2 & m
+    h = (h ^ h >> 29) * p3 & m
+    return h ^ h >> 32
