@@ -160,11 +160,10 @@ def dealt(rows: DataFrame, pivots: dict[int, np.ndarray], of: Units, reach: floa
                         there = d <= of.ring[key][1] + reach + SLACK
                         for part in range(of.parts[key]):
                             put(rows_[there], of.first[key] + part, True, d[there])
-            take = np.concatenate(row)
+            take, *cols = (np.concatenate(x) for x in (row, unit, visits, far))
             for i in range(0, len(take), 4096):
-                some = pa.array(take[i : i + 4096])
-                cols = [pa.array(np.concatenate(x)[i : i + 4096]) for x in (unit, visits, far)]
-                yield pa.RecordBatch.from_arrays([*cols, *(b.column(c).take(some) for c in ("node", "w", "vec"))], ["unit", "visits", "dist", "node", "w", "vec"])
+                some = slice(i, i + 4096)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in cols), *(b.column(c).take(pa.array(take[some])) for c in ("node", "w", "vec"))], ["unit", "visits", "dist", "node", "w", "vec"])
 
     kind = rows.schema["vec"].dataType.simpleString()
     return map_batches(rows, run, f"unit int, visits boolean, dist double, node long, w long, vec {kind}")
