@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from loomrank.functions import scores as S
 from loomrank.operators import retrieval as R
 from loomrank.operators import scoring
-from loomrank.plans import boardpages, crawl, matching, postings, profiles, records
+from loomrank.plans import boardpages, crawl, matching, postings, profiles, records, streams
 
-PLANS = (matching, records, postings, profiles, crawl, boardpages)
+PLANS = (matching, records, postings, profiles, crawl, boardpages, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
