@@ -93,17 +93,17 @@ def content_hash(text: Column) -> Column:
 
 
 # Date, time and offset of an ISO text: with or without marks between the numbers, time and its lesser parts may be left out.
-ISO = r"^(\d{4})-?(\d\d)-?(\d\d)(?:\D(\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d\d(?::?\d\d(?::?\d\d)?)?)?)?$"
+ISO = r"^(\d{4})(-?)(\d\d)\2(\d\d)(?:\D(\d\d)(?:(:?)(\d\d)(?:\6(\d\d)(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d\d(?::?\d\d(?::?\d\d)?)?)?)?$"
 
 
 def iso_parts(text: Column) -> Column:
     """``date, time, offset`` of an ISO text as texts (``yyyy-MM-dd``, ``HH:mm:ss.f``, ``+HH:mm``); null where it has none."""
     g = lambda i: F.regexp_extract(text, ISO, i)
-    day = F.when(text.rlike(ISO), F.concat_ws("-", g(1), g(2), g(3)))
+    day = F.when(text.rlike(ISO), F.concat_ws("-", g(1), g(3), g(4)))
     or_zero = lambda i: F.coalesce(F.nullif(g(i), F.lit("")), F.lit("00"))
-    time = F.when(g(4) != "", F.concat(g(4), F.lit(":"), or_zero(5), F.lit(":"), or_zero(6), F.when(g(7) != "", F.concat(F.lit("."), g(7))).otherwise("")))
-    digits = F.rpad(F.replace(F.substring(g(8), 2, 9), F.lit(":")), 4, "0")
-    offset = F.when(g(8) == "Z", "+00:00").when(g(8) != "", F.concat(F.substring(g(8), 1, 1), F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2)))
+    time = F.when(g(5) != "", F.concat(g(5), F.lit(":"), or_zero(7), F.lit(":"), or_zero(8), F.when(g(9) != "", F.concat(F.lit("."), g(9))).otherwise("")))
+    digits = F.rpad(F.replace(F.substring(g(10), 2, 9), F.lit(":")), 4, "0")
+    offset = F.when(g(10) == "Z", "+00:00").when(g(10) != "", F.concat(F.substring(g(10), 1, 1), F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2)))
     return F.struct(day.alias("date"), time.alias("time"), offset.alias("offset"))
 
 

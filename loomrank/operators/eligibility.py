@@ -47,15 +47,20 @@ def deadline_text(value: Column) -> Column:
 
 
 def deadline_state(value: Column, now: str, zone: str) -> Column:
-    """``passed``, ``open``, ``blank`` or ``unread``: a date lasts to its end in the zone, a time without offset is of the zone."""
+    """``passed``, ``open``, ``blank`` or ``unread``: a date lasts to its end in the zone, a time without offset is of the zone.
+
+    ISO texts come first, of any form; only ``yyyy-MM-dd`` is a whole day there, another date alone begins it.
+    """
     text = deadline_text(value)
-    zoned = r"(?:Z|[+-]\d{2}:\d{2})$"
     day = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in rules.DATED]).cast("date")
-    moment = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in rules.TIMED])
-    away = F.when(text.endswith("Z"), 0).otherwise(F.concat(F.substring(text, -6, 1), F.lit("1")).try_cast("int") * (F.substring(text, -5, 2).try_cast("int") * 60 + F.substring(text, -2, 2).try_cast("int")))
-    instant = F.when(text.rlike("T.*" + zoned), F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(text, zoned, ""), F.lit("yyyy-MM-dd'T'HH:mm:ss"))) - 60 * away)
+    iso = T.iso_parts(text)
+    wall = F.try_to_timestamp(F.concat(iso["date"], F.lit(" "), F.coalesce(iso["time"], F.lit("00:00:00"))))
+    minutes = F.substring(iso["offset"], 2, 2).try_cast("bigint") * 60 + F.substring(iso["offset"], 5, 2).try_cast("bigint")
+    away = F.when(F.substring(iso["offset"], 1, 1) == "-", -minutes).otherwise(minutes)
     local = F.to_timestamp(F.lit(now))
-    passed = F.coalesce(day < local.cast("date"), moment < local, instant < F.unix_timestamp(F.to_utc_timestamp(local, zone)))
+    utc = F.unix_micros(F.to_utc_timestamp(local, zone))
+    moment = F.coalesce(F.when(iso["offset"].isNull(), wall), *[F.try_to_timestamp(text, F.lit(f)) for f in rules.TIMED])
+    passed = F.coalesce(day < local.cast("date"), F.when(iso["offset"].isNotNull(), F.unix_micros(wall) - 60_000_000 * away < utc), moment < local)
     return F.when(text == "", "blank").when(passed.isNull(), "unread").when(passed, "passed").otherwise("open")
 
 

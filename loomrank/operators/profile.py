@@ -131,11 +131,13 @@ def months_ago(dates: Column, year: int, month: int) -> Column:
 
 def blocks_of(profiles: DataFrame) -> DataFrame:
     """``rid, block, kind, heading, text, start, stop, bullets``: blocks of each profile, numbered from 1 in order."""
-    df = entries_of(lines_of(profiles)).where(F.trim("line") != "")
-    # text between lines of a block is the lines themselves; blank ones inside it are blank
+    df = entries_of(lines_of(profiles))
     row = F.struct("no", "start", "line", "bullet")
-    df = df.groupBy("rid", "section", "entry", "kind", "heading").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
+    df = df.groupBy("rid", "section", "entry", "kind", "heading").agg(F.array_sort(F.collect_list(row)).alias("all_rows"))
+    df = df.withColumn("rows", F.filter("all_rows", lambda r: F.trim(r["line"]) != "")).where(F.size("rows") > 0)
+    # blank lines inside a block are part of its text, so that it is the slice from start to stop
+    inside = F.filter("all_rows", lambda r: r["no"].between(F.get("rows", F.lit(0))["no"], F.element_at("rows", -1)["no"]))
+    text = F.array_join(F.transform(inside, lambda r: r["line"]), "\n")
     bullets = F.transform(F.filter("rows", lambda r: r["bullet"]), lambda r: T.collapse(F.regexp_replace(r["line"], BULLET, "")))
     last = F.element_at("rows", -1)
     df = df.select("rid", "section", "entry", "kind", "heading", text.alias("text"), F.get("rows", F.lit(0))["start"].alias("start"), (last["start"] + F.length(last["line"])).alias("stop"), bullets.alias("bullets"))

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomrank.functions.scores import CREDIT
-from loomrank.operators.board import remembered, with_memo
+from loomrank.operators.board import remembered
+from loomrank.streaming.details import written
 
 
 def embedded(df: DataFrame, key: str, text: str, encode: Callable[[list[str]], np.ndarray] | None) -> DataFrame:
@@ -59,28 +60,34 @@ def answered(rows: DataFrame, memo: DataFrame, call: Callable[[str, str], str],
     A remembered answer is verified again and used if it holds. Otherwise ``call(payload, feedback)`` is asked, and once
     more with what ``verify(payload, answer)`` found wrong; an answer that fails twice is null and isn't remembered.
     """
-    check = F.udf(lambda payload, value: value is not None and holds(verify, payload, value), "boolean")
-    hits, misses = with_memo(rows, memo, check("payload", "value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = []
-            for payload in b.column("payload").to_pylist():
-                answer, wrong = None, ""
-                for _ in range(2):
-                    try:
-                        answer = call(payload, wrong)
-                        wrong = verify(payload, answer)
-                    except Exception as e:  # noqa: BLE001  a call that fails is a wrong answer
-                        answer, wrong = None, str(e) or "failed"
-                    if not wrong:
-                        break
-                values.append(None if wrong else answer)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(values, pa.string())], ["key", "value"])
-
-    fresh = misses.select(F.col("key").cast("string").alias("key"), F.col("payload").cast("string").alias("payload")).mapInArrow(run, "key string, value string")
-    out = hits.select("key", "value", F.lit(True).alias("cached")).unionByName(fresh.withColumn("cached", F.lit(False)))
-    return out, remembered(memo, fresh.where("value is not null").dropDuplicates(["key"]))
+            values, cached = [], []
+            for payload, known in zip(b.column("payload").to_pylist(), b.column("value").to_pylist(), strict=True):
+                cached.append(known is not None and holds(verify, payload, known))
+                values.append(known if cached[-1] else asked_twice(call, verify, payload))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(values, pa.string()), pa.array(cached)], ["key", "value", "cached"])
+
+    known = memo.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    both = rows.select(F.col("key").cast("string").alias("key"), F.col("payload").cast("string").alias("payload")).join(known, "key", "left")
+    # written once and used twice: a model is asked once a row, and the memo holds what the result holds
+    out = written(both.mapInArrow(run, "key string, value string, cached boolean"))
+    fresh = out.where("not cached and value is not null").select("key", "value").dropDuplicates(["key"])
+    return out, remembered(known, fresh)
+
+
+def asked_twice(call: Callable[[str, str], str], verify: Callable[[str, str], str], payload: str) -> str | None:
+    wrong = ""
+    for _ in range(2):
+        try:
+            answer = call(payload, wrong)
+            wrong = verify(payload, answer)
+        except Exception as e:  # noqa: BLE001  a call that fails is a wrong answer
+            answer, wrong = None, str(e) or "failed"
+        if not wrong:
+            return answer
+    return None
 
 
 def holds(verify: Callable[[str, str], str], payload: str, value: str) -> bool:

@@ -44,8 +44,10 @@ for pattern, by, flags in ((r"\s*\((?:EST|EDT|ET)\)\s*$", "", "i"), (r"\s+(?:EST
 STATE_SQL = rf"""dl as (select *, {CLEAN} as dt from r),
  ds as (select *, try_strptime(dt, ['%b %d, %Y', '%B %d, %Y', '%Y/%m/%d', '%d %b %Y', '%d-%b-%Y', '%Y-%m-%d'])::date < timestamp '{inputs.NOW}'::date as p1,
   try_strptime(dt, ['%b %d, %Y %I:%M %p', '%B %d, %Y %I:%M %p', '%b %d, %Y %H:%M', '%B %d, %Y %H:%M', '%Y-%m-%d %I:%M %p', '%Y/%m/%d %H:%M', '%m/%d/%Y %I:%M %p', '%d %b %Y %H:%M', '%Y-%m-%d %H:%M', '%Y-%m-%dT%H:%M:%S']) < timestamp '{inputs.NOW}' as p2,
-  case when regexp_matches(dt, 'T.*(Z|[+-]\d\d:\d\d)$') then try_strptime(regexp_replace(dt, '(Z|[+-]\d\d:\d\d)$', ''), '%Y-%m-%dT%H:%M:%S') - to_minutes(case when dt like '%Z' then 0 else (case when dt[-6] = '-' then -1 else 1 end) * (try_cast(dt[-5:-4] as int) * 60 + try_cast(dt[-2:] as int)) end) < timestamp '{inputs.NOW_UTC}' end as p3 from dl),
- st as (select * exclude (p1, p2, p3), case when dt = '' then 'blank' when coalesce(p1, p2, p3) is null then 'unread' when coalesce(p1, p2, p3) then 'passed' else 'open' end as state from ds)"""
+  try_strptime(regexp_replace(dt, '(Z|[+-]\d\d:?\d\d)$', ''), ['%Y-%m-%dT%H:%M:%S.%f', '%Y-%m-%d %H:%M:%S.%f', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M', '%Y-%m-%dT%H', '%Y%m%dT%H%M%S', '%Y%m%d']) as wall,
+  case when regexp_matches(dt, ':.*[+-]\d\d:?\d\d$') then replace(regexp_extract(dt, '[+-]\d\d:?\d\d$'), ':', '') when dt like '%Z' then '+0000' end as off from dl),
+ dz as (select *, case when off is null then wall < timestamp '{inputs.NOW}' else wall - to_minutes((off[2:3]::int * 60 + off[4:5]::int) * case when off[1] = '-' then -1 else 1 end) < timestamp '{inputs.NOW_UTC}' end as p3 from ds),
+ st as (select * exclude (p1, p2, p3, wall, off), case when dt = '' then 'blank' when coalesce(p1, p3, p2) is null then 'unread' when coalesce(p1, p3, p2) then 'passed' else 'open' end as state from dz)"""
 WAIVED = " or ".join(f"regexp_matches(c, '{w}', 'i')" for w in E.WAIVERS)
 RESTRICTION = rf"""list_filter(list_transform(list_transform([title, description, requirements, {', '.join(METADATA)}], lambda t: regexp_replace(regexp_replace(coalesce(t, ''), 'https?://\S+', '', 'g'), '\bU\.S\.(?:A\.)?', 'US', 'gi')),
   lambda t: case when regexp_matches(t, '{E.PROGRAM}', 'i') then 'programme' else list_filter(list_transform(list_transform(string_split_regex(t, '(?i)[\n;.!?。；]+|\bbut\b'), lambda c: {sql_collapse("replace(c, ':', ' ')")}),

@@ -87,7 +87,9 @@ BLOCKS_SQL = rf"""{LINES_SQL},
  e1 as (select *, regexp_matches(line, '{RANGE}', 'i') and not bullet as dated, not bullet and not regexp_matches(line, '^\s') and length(trim(line)) <= 120 and regexp_matches(trim(line), '^[\p{{L}}\p{{N}}]') and not regexp_matches(trim(line), '^\p{{Ll}}') as shaped from e0),
  e2 as (select *, max(case when bullet then no end) over w as last_bullet, max(case when dated or shaped then no end) over w as last_line from e1 window w as (partition by rid, section order by no rows between unbounded preceding and 1 preceding)),
  e3 as (select *, sum(case when kind in ({SPLIT}) and (dated or (shaped and coalesce(last_bullet > coalesce(last_line, -1), false))) then 1 else 0 end) over (partition by rid, section order by no) as entry from e2),
- b0 as (select rid, section, entry, kind, heading, string_agg(line, chr(10) order by no) as text, min(start) as start, max(start + length(line)) as stop, coalesce(string_agg({sql_collapse(f"regexp_replace(line, '{R.BULLET}', '')")}, '|' order by no) filter (bullet), '') as bullets from e3 where trim(line) <> '' group by all),
+ lt as (select rid, string_agg(line, chr(10) order by no) as whole from l0 group by rid),
+ b00 as (select rid, section, entry, kind, heading, min(start) as start, max(start + length(line)) as stop, coalesce(string_agg({sql_collapse(f"regexp_replace(line, '{R.BULLET}', '')")}, '|' order by no) filter (bullet), '') as bullets from e3 where trim(line) <> '' group by all),
+ b0 as (select b00.*, substr(whole, start + 1, stop - start) as text from b00 join lt using (rid)),
  b as (select *, row_number() over (partition by rid order by section, entry) as block from b0)"""
 POINT = lambda x: f"(regexp_extract({x}, '\\d{{4}}')::int * 12 + case when regexp_extract(lower({x}), '[a-z]{{3,}}') <> '' then case " + " ".join(f"when starts_with(regexp_extract(lower({x}), '[a-z]{{3,}}'), '{m}') then {i + 1}" for i, m in enumerate(R.MONTHS)) + " " + " ".join(f"when starts_with(regexp_extract(lower({x}), '[a-z]{{3,}}'), '{s}') then {m}" for s, m in R.SEASONS.items()) + f" else 1 end when regexp_matches({x}, '^\\d{{1,2}}[/-]') then least(12, greatest(1, regexp_extract({x}, '^\\d{{1,2}}')::int)) else 1 end)"
 DATES_SQL = rf"""{BLOCKS_SQL},
