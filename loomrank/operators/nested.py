@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomrank.streaming.details import written
+from loomrank.streaming.upsert import written
 
 
 def kind_of(value: Column) -> Column:

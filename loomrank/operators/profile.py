@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomrank.functions import scores as S
 from loomrank.functions import skills as K
 from loomrank.functions import text as T
+from loomrank.streaming.upsert import written
 
 # Kinds of sections and how their headings read, first one first.
 SECTIONS = [
@@ -188,12 +189,18 @@ def claims_of(profiles: DataFrame, blocks: DataFrame, attributed: DataFrame | No
     ``attributed(rid, block, name)`` says which skill a model places in which block. A skill that the profile names
     nowhere counts only where the block's own text has it.
     """
-    found = profiles.select("rid", F.inline(K.mentions_of(laid_out(F.col("text")))))
+    # blocks and mentions are looked at more than once: each is worked out once and written
+    blocks = written(blocks.select("rid", "block", "kind", "text", "start", "stop"))
+    # patterns cost far more than the texts are large: they are dealt out, however few files they come in
+    dealt = profiles.repartition(int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid")
+    # outer, or the planner asks for all mentions once more to see whether there are any
+    found = written(dealt.select("rid", F.inline_outer(K.mentions_of(laid_out(F.col("text"))))).where("canonical is not null"))
     spans = blocks.select(F.col("rid").alias("b_rid"), "block", F.col("start").alias("b_start"), "stop", F.col("kind").isin(EVIDENCE).alias("evidence"), F.col("text").alias("b_text"))
     placed = found.join(spans, (F.col("rid") == F.col("b_rid")) & (F.col("start") >= F.col("b_start")) & (F.col("start") < F.col("stop")), "left")
     rows = placed.select("rid", F.col("canonical").alias("skill"), F.when(F.col("evidence"), 3).otherwise(1).alias("tier"), "block")
     if attributed is not None:
-        named = attributed.select("rid", "block", "name", F.explode(F.when(F.size(K.skills_of(F.col("name"))) > 0, K.skills_of(F.col("name"))).otherwise(F.array(T.collapse(F.col("name"))))).alias("skill"))
+        known_as = attributed.select("rid", "block", "name", K.skills_of(F.col("name")).alias("as"))
+        named = known_as.select("rid", "block", "name", F.explode_outer(F.when(F.size("as") > 0, F.col("as")).otherwise(F.array(T.collapse(F.col("name"))))).alias("skill"))
         named = named.join(spans.where("evidence").select(F.col("b_rid").alias("rid"), "block", "b_text"), ["rid", "block"])
         known = rows.select("rid", "skill").distinct().withColumn("known", F.lit(True))
         named = named.join(known, ["rid", "skill"], "left")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomrank.functions.scores import CREDIT
 from loomrank.operators.board import remembered
-from loomrank.streaming.details import written
+from loomrank.streaming.upsert import written
 
 
 def embedded(df: DataFrame, key: str, text: str, encode: Callable[[list[str]], np.ndarray] | None) -> DataFrame:

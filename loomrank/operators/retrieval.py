@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrank.functions import scores as S
 from loomrank.functions.text import tokens
+from loomrank.streaming.upsert import written
 
 #: Rows of a side that is broadcast at most: query terms and profile chunks are bounded by the profile's size.
 MAX_BROADCAST_ROWS = 20_000
@@ -32,15 +33,18 @@ def weighted_terms(chunks: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: Column, query: DataFrame) -> DataFrame:
     """``key, score`` of the documents with a query term; ``query(term, weight)``.
 
-    Tokens meet the broadcast query terms in the task that makes them, so what is shuffled grows with the matches and not
-    with the corpus; document frequencies are counted over that same shuffle.
+    Texts are tokenised once. Tokens meet the query terms in the task that makes them; what is written is a row for each
+    document and one for each query term it holds, and lengths, term and document frequencies all come from that. Every
+    document carries an empty term, which the query gets too, so that those without a match still count.
     """
-    toks = docs.select(key, tokens(text).alias("toks"))
-    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("mean")).first()
-    n, mean = stats["n"], stats["mean"] or 1.0
-    query = small(query)
-    hits = toks.select(key, F.size("toks").alias("len"), F.explode("toks").alias("term")).join(query, "term")
-    tf = hits.groupBy(key, "term", "len", "weight").agg(F.count("*").alias("tf"))
+    marked = small(query.select("term", F.col("weight").cast("double").alias("weight")).union(query.sparkSession.createDataFrame([("", 0.0)], "term string, weight double")))
+    toks = docs.select(key, tokens(text).alias("toks")).select(key, "toks", F.size("toks").alias("len"))
+    # explode_outer, for explode makes the planner ask for the tokens once more to see whether there are any
+    each = toks.select(key, "len", F.explode_outer(F.concat(F.array(F.lit("")), "toks")).alias("term"))
+    held = written(each.join(marked, "term").groupBy(key, "term", "len", "weight").agg(F.count("*").alias("tf")))
+    stats = held.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("mean")).first()
+    n, mean = stats["n"] or 0, stats["mean"] or 1.0
+    tf = held.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("weight") * idf * F.col("tf") * (S.BM25_K1 + 1) / (F.col("tf") + S.BM25_K1 * (1 - S.BM25_B + S.BM25_B * F.col("len") / mean))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrank.streaming.upsert import shared_folder
+from loomrank.streaming.upsert import written
 
 #: Fixed value: readings of a detail at most.
 TRIES = 3
@@ -17,13 +17,6 @@ LONGEST = {"id": 200, "title": 1000, "company": 1000, "location": 1000, "descrip
 DETAIL = "struct<title: string, company: string, location: string, description: string, requirements: string, deadline: string, status: string>"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` from the shared folder: what was read once is not read again, whatever becomes of an executor."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def wrong_fields(job: Column, fields: list[str]) -> Column:
     """Names of the fields of a posting that break its rules: none but the title must be there, each has a longest length."""
     bad = [F.when(F.length(F.coalesce(job[f], F.lit(""))) > LONGEST[f], F.lit(f)) for f in fields]
