@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomrank.llm.common import components, map_batches, materialise
+from loomrank.llm.common import components, map_batches, materialise, unused
 
 #: Bucket members compared in one task at most; larger buckets are dealt into pairs of tiles.
 TILE = 4096
@@ -259,10 +259,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed:
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``kept(__id, __th)`` names, one of those that repeat."""
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__th")))
-    one = Window.partitionBy("__id", "__th").orderBy(F.lit(0))
-    return out.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that ``kept(__id, __th)`` names; of those that share id and text the one whose other columns hash least."""
+    a, b, n = unused(docs, "kept_id", "kept_th", "copy")
+    out = docs.join(kept.select(F.col("__id").alias(a), F.col("__th").alias(b)), F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (text_hash() == F.col(b)))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    one = Window.partitionBy(a, b).orderBy(F.xxhash64(*plain))
+    return out.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def bands_of(h: np.ndarray) -> np.ndarray:

@@ -227,3 +227,49 @@ def test_the_whole_table_is_joined(spark):
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     assert same(tuple(r) for r in queries.QUERIES["op12_metric_join"](spark, SF).collect()) == same(links(rows))
     assert df.where(F.col("vec_id") < 0).count() == 0
+
+
+# ---- names that clash, streams without a seek table
+
+
+def test_clashing_names_come_back_as_they_were(spark):
+    from loomrank.llm import quality, simhash
+
+    text = "one two three four five six seven eight nine ten eleven twelve " * 6
+    rows = [(i, text if i < 2 else f"{text} and {i} others of their own kind " + " ".join(f"w{i}x{j}" for j in range(60)), 7, 8, 9, {"a": "b"}) for i in range(4)] + [(0, text, 1, 8, 9, {"a": "b"})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id int, __th int, __q_words int, __q_kept map<string,string>")
+    got = simhash.drop_similar(df)
+    assert got.columns == df.columns and {r.doc_id for r in got.collect()} == {0, 2, 3} and got.schema == df.schema
+    assert simhash.drop_near_duplicates(df).count() == 3
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_quality(df, labels, threshold=-100.0)
+    assert kept.schema == df.schema and all(r["__q_words"] == 9 and r["__q_kept"] == {"a": "b"} for r in kept.collect())
+    assert quality.keep_quality(df.limit(0), labels).count() == 0 and simhash.drop_similar(df.limit(0)).count() == 0
+
+
+def test_frames_are_found_without_a_seek_table():
+    from loomrank.llm import flac
+
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.integers(-3, 4, 20_000)).astype(np.int16)
+    x[5000:5100] = -8  # bytes that look like a sync code
+    m = flac.encode(x, 16)
+    at, blocks = 4, []
+    while True:
+        last, kind, size = m[at] & 0x80, m[at] & 0x7F, int.from_bytes(m[at + 1 : at + 4], "big")
+        blocks.append((kind, m[at + 4 : at + 4 + size]))
+        at += 4 + size
+        if last:
+            break
+
+    def stream(metadata):
+        parts = [bytes([kind | (0x80 if i + 1 == len(metadata) else 0)]) + len(b).to_bytes(3, "big") + b for i, (kind, b) in enumerate(metadata)]
+        return b"fLaC" + b"".join(parts) + m[at:]
+
+    bare = stream([b for b in blocks if b[0] != 3])
+    sparse = stream([(k, b[:18] if k == 3 else b) for k, b in blocks])
+    for s in (bare, sparse):
+        assert (flac.decode_all([s])[0] == x).all() and (flac.decode_range(s, 9000, 3000) == x[9000:12000]).all()
+        assert len(flac.decode_range(s, 30_000, 5)) == 0
+    with pytest.raises(flac.BadFlac):
+        flac.read_header(bare[:-50])
