@@ -52,13 +52,22 @@ def test_reuse_over_a_restart(spark, tmp_path):
 
 def test_a_hundred_batches(spark, tmp_path):
     """Files that a read opens stay bounded, and the table equals the merge of all rows at once."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        hundred_batches(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def hundred_batches(spark, tmp_path):
     table = K.board_table(spark, f"file://{tmp_path}", buckets=2, fan=5)
     every = []
     for n in range(100):
         rows = [(f"J{(n * 7 + i) % 23}", n * 10 + i, *(f"{c}{n}" if (n + i + j) % 3 else "" for j, c in enumerate(B.FIELDS)), None if i else n % 2 == 0, {"k": f"v{n}" if n % 4 else "", "detail_status": "complete" if (n + i) % 9 == 0 else "failed", **({"detail_collected_at": f"t{n}"} if n % 5 == 0 else {})}) for i in range(3)]
         every += rows
         df = spark.createDataFrame(rows, f"id string, seq long, {', '.join(f'{c} string' for c in B.FIELDS)}, is_open boolean, metadata map<string,string>")
-        assert table.append(K.board_states(df), n)
+        assert table.append(K.board_states(df.coalesce(1)), n)
         assert not n or not table.append(K.board_states(df), n - 1)  # a repeated batch changes nothing
     assert len(table.runs()) <= 4 * 3 and len(table.rows(table.runs()).inputFiles()) <= 2 * 4 * 3
     assert len(list((tmp_path / "runs").iterdir())) <= 4 * 3 + 15 and len(table.manifests.numbers()) <= 2
