@@ -14,7 +14,7 @@ def one(spark, expr, **cols):
     return df.select(expr.alias("x")).first().x
 
 
-@pytest.mark.parametrize(("value", "state"), [("2031-05-03", "passed"), ("2031-05-04", "open"), ("May 4, 2031", "open"), ("4-May-2031", "open"), ("May 4, 2031 7:59 AM", "passed"), ("May 4th, 2031 at 8:01 AM (EDT)", "open"), ("2031-05-04T11:59:00Z", "passed"), ("2031-05-04T12:01:00Z", "open"), ("2031-05-04T14:30:00+02:00", "open"), (" ", "blank"), ("by the end of spring", "unread")])
+@pytest.mark.parametrize(("value", "state"), [("2031-05-03", "passed"), ("2031-05-04", "open"), ("May 4, 2031", "open"), ("4-May-2031", "open"), ("May 4, 2031 7:59 AM", "passed"), ("May 4th, 2031 at 8:01 AM (EDT)", "open"), ("2031-05-04T11:59:00Z", "passed"), ("2031-05-04T12:01:00Z", "open"), ("2031-05-04T14:30:00+02:00", "open"), ("2031-05-04 07:59:59", "passed"), ("2031-05-04T08:01", "open"), ("20310504", "passed"), ("20310505", "open"), ("20310504T0801", "open"), ("2031-05-04T11:59:59.5+00:00", "passed"), ("2031-05-04 08:01:00-04:00", "open"), ("2031-05-04T13:59+0200", "passed"), ("2031-02-30T09:00:00", "unread"), (" ", "blank"), ("by the end of spring", "unread")])
 def test_deadlines(spark, value, state):
     assert one(spark, eligibility.deadline_state(F.col("v"), "2031-05-04 08:00:00", "America/Toronto"), v=value) == state
 

@@ -161,3 +161,29 @@ def test_pages_of_the_board():
     assert board_pages.detail("<div id=jobPosting>12 <h3>Requirements</h3><p>x", "1") is None
     got = board_pages.detail("<div id=jobPosting>12 <h3>Requirements</h3><p>x</p><p>y</p><h3>City</h3><p>Rome</p><p>more</p>", "12")
     assert got["requirements"] == "x\ny" and got["location"] == "Rome"
+
+
+def test_a_model_is_asked_once_a_row(spark, tmp_path):
+    """However often result and memo are read."""
+    rows = spark.createDataFrame([("a", "first text of all"), ("b", "second text of all")], "key string, payload string")
+    memo = spark.createDataFrame([], "key string, value string")
+    log = tmp_path / "calls"
+
+    def call(payload, feedback):
+        with open(log, "a") as f:
+            f.write(payload + "\n")
+        return json.dumps({"requirements": [{"quote": payload}]})
+
+    out, known = providers.answered(rows, memo, call, providers.quotes_hold)
+    for _ in range(2):
+        assert out.count() == known.count() == 2
+    assert sorted(log.read_text().splitlines()) == ["first text of all", "second text of all"]
+
+
+def test_a_block_is_the_slice_of_its_text(spark):
+    from loomrank.operators import profile
+
+    text = "Sam\n\nExperience\nEngineer, Acme   May 2024 - August 2024\n- one\n\n  \n- two\n\nSkills\nPython"
+    got = profile.blocks_of(spark.createDataFrame([(1, text)], "rid long, text string")).collect()
+    assert any(r.text.endswith("- one\n\n  \n- two") and r.bullets == ["one", "two"] for r in got)
+    assert all(text[r.start : r.stop] == r.text for r in got)
