@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from loomrank.functions import scores as S
 from loomrank.operators import retrieval as R
 from loomrank.operators import scoring
-from loomrank.plans import boardpages, crawl, drafts, evidence, matching, postings, profiles, records, streams
+from loomrank.plans import boardpages, crawl, drafts, evidence, matching, postings, profiles, records, streams, unicode
 
-PLANS = (matching, records, postings, profiles, crawl, boardpages, streams, evidence, drafts)
+PLANS = (matching, records, postings, profiles, crawl, boardpages, streams, evidence, drafts, unicode)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

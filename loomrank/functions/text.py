@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that carry no content in a posting or a profile.
@@ -18,6 +18,7 @@ able strong excellent including""".split()
 # Spelled numbers of durations.
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "sixteen": 16}
 WORD = r"[\p{L}\p{N}_]"
+BEYOND_ASCII = r"[^\x00-\x7f]"
 TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}_+#.\-]*"
 
 
@@ -32,14 +33,51 @@ def collapse(text: Column) -> Column:
 
 
 def clean_unicode(text: Column) -> Column:
-    """NUL as a blank, soft hyphens gone (compatibility folding needs a UDF and is a no-op on folded input)."""
+    """NUL as a blank, soft hyphens gone: what ``compatible`` does beyond NFKC, for texts that are in that form."""
     return F.translate(text, "\x00­", " ")
 
 
+def by_icu(kind: str, method: str, text: Column) -> Column:
+    """A text's form by a static method of the Unicode library that comes with the engine; texts of ASCII alone spare the call."""
+    return F.when(text.rlike(BEYOND_ASCII), F.java_method(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), text, F.lit(True))).otherwise(text)
+
+
+def compatible(text: Column) -> Column:
+    """NFKC, NUL as a blank, soft hyphens gone; null stays null.
+
+    The call is no pure function to the planner: select it in a projection of its own (``normalised``), not in join conditions
+    or above filters that are to be pushed down.
+    """
+    return clean_unicode(by_icu("text.Normalizer", "compose", text))
+
+
+def full_casefold(text: Column) -> Column:
+    """Full case folding of all scripts; as with ``compatible``, in a projection of its own."""
+    return by_icu("lang.UCharacter", "foldCase", F.when(text.rlike(BEYOND_ASCII), text).otherwise(F.lower(text)))
+
+
+def normalised(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with the named text columns in compatible form: ligatures and full-width letters read like plain ones from here on.
+
+    One projection in the JVM. What follows, whether tokens, spans or quotes, sees the same text, so offsets and quotes agree.
+    """
+    return df.withColumns({c: compatible(F.col(c)) for c in columns})
+
+
+def ordered_distinct(values: Column) -> Column:
+    """Values, each once, in order of their first occurrence, without nulls and empty ones; null as none."""
+    return F.array_distinct(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v != ""))
+
+
+def folded_tokens(folded: Column) -> Column:
+    """Content tokens of a text that is in compatible form and folded."""
+    stripped = F.transform(F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(0)), lambda t: F.btrim(t, F.lit(".-")))
+    return F.filter(stripped, lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS) & ~t.rlike(r"^\p{N}+$"))
+
+
 def tokens(text: Column) -> Column:
     """Content tokens: folded, stripped of dots and dashes, no stop words, no bare numbers, longer than one character."""
-    stripped = F.transform(F.regexp_extract_all(casefold(clean_unicode(F.coalesce(text, F.lit("")))), F.lit(TOKEN), F.lit(0)), lambda t: F.btrim(t, F.lit(".-")))
-    return F.filter(stripped, lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS) & ~t.rlike(r"^\p{N}+$"))
+    return folded_tokens(casefold(clean_unicode(F.coalesce(text, F.lit("")))))
 
 
 def mentions(text: Column, phrase: str) -> Column:
