@@ -56,3 +56,20 @@ def islands(df: DataFrame, group: str, order: str, starts: Column) -> DataFrame:
 
 def mention_pattern(phrase: str) -> str:
     return f"(?<!{WORD}){phrase}(?!{WORD})"
+
+
+def latest_before(events: DataFrame, key: str, at: str, slot: Column, start: Column, value: str) -> DataFrame:
+    """``events`` with ``latest``: the value of the latest row of its key at or before it for which ``start`` holds; null without one.
+
+    ``slot`` grows with the time. The latest start of each slot is a combinable aggregate, carried from slot to slot over one row
+    a slot; rows are ordered within their key and slot only, so a key with a third of all rows is dealt out by slot. Of starts
+    at one time the greatest value counts; a row without key or time has no start and is none.
+    """
+    begins = F.coalesce(start, F.lit(False)) & F.col(key).isNotNull() & F.col(at).isNotNull()
+    rows = events.withColumn("slot", slot).withColumn("mark", F.when(begins, F.struct(F.col(at).alias("at"), F.col(value).alias("value"))))
+    slots = rows.groupBy(F.col(key).alias("s_key"), F.col("slot").alias("s_slot")).agg(F.max("mark").alias("own"))
+    carried = F.last("own", ignorenulls=True).over(Window.partitionBy("s_key").orderBy("s_slot").rowsBetween(Window.unboundedPreceding, -1))
+    slots = slots.withColumn("carried", carried).where("carried is not null").select("s_key", "s_slot", "carried")
+    near = rows.withColumn("near", F.max("mark").over(Window.partitionBy(key, "slot").orderBy(at)))
+    joined = near.join(slots, (F.col(key) == F.col("s_key")) & (F.col("slot") == F.col("s_slot")), "left")
+    return joined.select(*events.columns, F.coalesce("near", "carried")["value"].alias("latest"))

@@ -150,7 +150,16 @@ SCORED_SQL = f"""{CHECKED_SQL}, jb as ({JOBS.format(orders='orders')}),
 EVENTS_SQL = f"b as ({BOARD.format(events='events')})"
 LATEST = lambda c, given: f"arg_max({c}, seq) filter ({given})"
 P_SQL = f"p as ({inputs.POSTINGS_SQL})"
+#: Places are asked one by one: around the cut, then from the top; which are free depends on those before.
+TIES_SQL = f"""with recursive o as (select o_orderkey as job, round(o_totalprice / 5000, 2) as score, o_orderkey % 9 = 0 as conflict from orders),
+ top as (select *, row_number() over (order by score desc, job) as rank from o order by score desc, job limit 102),
+ pr as (select a.rank as i, abs(a.score - b.score) <= {S.NEAR_TIE} and least(a.score, b.score) <> 0 and not a.conflict and not b.conflict as fits, b.job > a.job as swap from top a join top b on b.rank = a.rank + 1),
+ st as (select 0 as n, []::bigint[] as got union all select n + 1, case when len(got) < 6 and exists (select 1 from pr where fits and i = ([100, 99, 101, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12])[n + 1])
+  and len(list_filter(got, lambda g: abs(g - ([100, 99, 101, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12])[n + 1]) < 2)) = 0 then list_append(got, ([100, 99, 101, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12])[n + 1]) else got end from st where n < 15),
+ mv as (select i from (select unnest(got) as i from st where n = 15) g join pr using (i) where swap)
+ select (case when rank in (from mv) then rank + 1 when rank - 1 in (from mv) then rank - 1 else rank end)::bigint as rank, job, score from top"""
 ORACLE_SQL = {
+    "near_tie_order": TIES_SQL,
     "checked_judgements": f"with {CHECKED_SQL} select * from ck",
     "unmatched_judgements": "with l as (select l_orderkey as job, l_linenumber::bigint as idx, l_quantity from lineitem), a as (select job, idx, count(*) as asked from l where idx <= 5 group by all), g as (select job, idx, count(*) as given from l where l_quantity > 10 group by all) select * from (select coalesce(a.job, g.job) as job, coalesce(a.idx, g.idx) as idx, case when given is null then 'not judged' when asked is null then 'not asked' when given > 1 then 'judged twice' end as problem from a full join g on a.job = g.job and a.idx = g.idx) where problem is not null",
     "scored_jobs": f"with {SCORED_SQL} select job, case when coalesce(cf, false) and total > 20 then 20.0::double else total end as score, pt as p_technical, pe as p_experience, pd as p_domain, pr as p_recency, pp as p_preferences, case when cf and total > 20 then round(20 - total, 2) end as p_qualification_cap, case when not coalesce(he, false) then 'needs_review' when cf then 'conflict' when oe then 'needs_review' else 'no_known_conflict' end as eligibility, {EDGE('mc', 3)} as must_have_coverage, coalesce(mh, 0) as must_have_count, coalesce({EDGE('ns / n', 3)}, 0) as evidence_coverage, {EDGE('rec', 4)} as recency_alignment from z",

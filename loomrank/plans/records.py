@@ -118,11 +118,10 @@ def quote_block_first(spark, sf_dir):
 
 
 def interval_attribution(spark, sf_dir):
-    """Each error belongs to the sign-up interval that it falls in: the latest sign-up before it, by a running maximum."""
-    ev = read(spark, sf_dir, "events").where("event_type in ('signup', 'error')")
-    w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "signup", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w)
-    return ev.withColumn("block_event", at).where("event_type = 'error' and block_event is not null").select(F.col("event_id").alias("mention"), "block_event")
+    """Each error belongs to the sign-up interval that it falls in: the latest sign-up before it."""
+    ev = read(spark, sf_dir, "events").where("event_type in ('signup', 'error')").select("event_id", "user_id", "ts", "event_type")
+    got = rules.latest_before(ev, "user_id", "ts", F.date_trunc("day", "ts"), F.col("event_type") == "signup", "event_id")
+    return got.where("event_type = 'error' and latest is not null").select(F.col("event_id").alias("mention"), F.col("latest").alias("block_event"))
 
 
 def segment_blocks(spark, sf_dir):

@@ -1,5 +1,7 @@
 """Golden cases of text, deadline, term and scoring rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,20 @@ def test_labelled_values(spark):
     page = "<table><tr><th>Job Title:</th><td>A <b>B</b></td></tr></table><dl><dt>Location</dt><dd>X</dd></dl>"
     rows = html.labelled_values(spark.createDataFrame([(1, page)], "id long, html string"), "id", F.col("html")).collect()
     assert {(r.label, r.value) for r in rows} == {("jobtitle", "A B"), ("location", "X")}
+
+
+def test_latest_before_equals_a_scan(spark):
+    rng = random.Random(5)
+    rows = [(i, 0 if rng.random() < 0.7 else rng.randint(1, 3), rng.randint(0, 40), rng.random() < 0.2) for i in range(400)] + [(900, None, 3, True), (901, 0, None, True), (902, 0, 5, None), (903, 3, 41, False), (904, None, 9, False), (905, 0, None, False)]
+    df = spark.createDataFrame(rows, "v long, k int, t int, s boolean")
+    got = {r.v: r.latest for r in rules.latest_before(df, "k", "t", F.floor(F.col("t") / 7), F.col("s"), "v").collect()}
+    want = {}
+    for v, k, t, s in rows:
+        best = max(((t2, v2) for v2, k2, t2, s2 in rows if s2 and k is not None and k2 == k and t2 is not None and t is not None and t2 <= t), default=None)
+        want[v] = best[1] if best else None
+    assert got == want
+
+
+def test_latest_before_of_nothing(spark):
+    df = spark.createDataFrame([], "v long, k int, t int, s boolean")
+    assert rules.latest_before(df, "k", "t", F.col("t"), F.col("s"), "v").count() == 0
