@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
-from loomrank.functions import scores as S
 from loomrank.functions import skills as K
 from loomrank.operators import profile as R
 from loomrank.plans import inputs
@@ -125,15 +122,6 @@ CLAIMS_SQL = f"""{MENTIONS_SQL},
  c2 as (select b.rid, b.block, b.text, v.name, v.skill, exists (select 1 from c1 where c1.rid = b.rid and c1.skill = v.skill) as known from b cross join (values ('GraphQL', 'GraphQL'), ('Vue.js', 'Vue'), ('services to', 'services to')) v(name, skill) where b.block = 3 and b.kind in ({EVIDENCE})),
  c3 as (select * from c1 union all select rid, skill, case when known then 2 else 3 end, block from c2 where known or contains(lower(text), lower(name))),
  c4 as (select rid, skill, max(tier) as tier from c3 group by all)"""
-ALONE_SQL = re.sub(r"where b\.block = 3", "where false", CLAIMS_SQL)
-CHUNKS_SQL = rf"""{HEAD_SQL}, {ALONE_SQL.split(BLOCKS_SQL + ", ", 1)[1]},
- r as (select rid * 1000 + block as pos, text from h),
- f as (select pos, name from r join al on contains({FOLDED}, alias) where regexp_matches({FOLDED}, '(^|[^\p{{L}}\p{{N}}_+#])' || pattern || '($|[^\p{{L}}\p{{N}}_+#])') union {SHORT_CASES}),
- tk as (select pos, array_to_string(list(name order by lower(name))[:40], ', ') as tech from f group by pos),
- x as (select rid, place, round(coalesce(round({S.RECENCY_FLOOR} + {1 - S.RECENCY_FLOOR} * pow(0.5, months_ago / {float(S.HALF_LIFE)}::double), 4), {S.RECENCY_UNKNOWN}), 4)::double as rec, {sql_collapse(f"concat_ws(' ', title[:300], organization[:300], {sql_collapse("array_to_string((case when headed then ls[2:] else ls end)[:3], ' ')")}[:800])")} as said, list_transform(list_filter(string_split(bullets, '|'), lambda q: q <> '')[:12], lambda q: q[:300]) as high, coalesce(tech, '') as tech from h left join tk on tk.pos = rid * 1000 + block),
- pc as (select rid, place as major, 0 as minor, said as chunk, rec as weight from x union all select rid, place, unnest(range(1, len(high) + 1)), unnest(high), rec from x union all select rid, place, 1000, tech, round(0.8 * rec, 6) from x
-  union all select rid, 1048576, 0, string_agg(skill, ', ' order by lower(skill)), {S.LISTED_WEIGHT} from c4 where tier = 1 group by rid),
- ck as (select rid, row_number() over (partition by rid order by major, minor) as ord, chunk, round(weight, 4) as weight from pc where chunk <> '')"""
 MONTHS_SQL = f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({sql_digits('text')}, '(?i){R.AVAILABLE}', 1), lambda m: m::int), lambda m: m between 1 and 24)))[:6]"
 
 ORACLE_SQL = {
@@ -144,7 +132,6 @@ ORACLE_SQL = {
     "experience_months": f"with {HEAD_SQL} select rid, sum(coalesce(months, 0))::bigint as total, sum(case when k = 'work' then coalesce(months, 0) else 0 end)::bigint as work, arg_min(block, place) as newest from h group by rid",
     "entry_headlines": f"with {HEAD_SQL} select rid, block, title[:300] as title, organization[:300] as organization, k as kind from h",
     "availabilities": rf"with p as ({inputs.PROFILES_SQL}) select rid, array_to_string({MONTHS_SQL}, ',') as months, array_to_string(list_transform(regexp_extract_all({sql_digits('text')}, '(?i){R.TERM}', 0), lambda t: regexp_extract(t, '20\d\d') || ' ' || upper(regexp_extract(t, '(?i)winter|spring|summer|fall|autumn')[1]) || lower(regexp_extract(t, '(?i)winter|spring|summer|fall|autumn')[2:])), ',') as terms from p",
-    "profile_chunks": f"with {CHUNKS_SQL} select rid, ord, chunk, weight::double as weight from ck where ord <= 200",
     "skill_mentions": f"with {MENTIONS_SQL} select rid, start, canonical from ms",
     "skill_claims": f"with {CLAIMS_SQL} select c4.rid, c4.skill, c4.tier::bigint as tier, coalesce(array_to_string(list_sort(list_distinct(list(c3.block) filter (c3.block is not null and not (c3.tier = 2 and c4.tier = 3)))), ','), '') as blocks from c4 join c3 on c3.rid = c4.rid and c3.skill = c4.skill group by all",
 }
