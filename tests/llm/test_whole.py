@@ -209,3 +209,10 @@ def spark_hash(text: str, salt: int) -> int:
     h = (h ^ h >> 33) * p2 & m
     h = (h ^ h >> 29) * p3 & m
     return h ^ h >> 32
+
+
+def test_every_trusted_document_counts_however_many_there_are(spark):
+    docs = spark.createDataFrame([(i, f"word{i} common text number {i % 7}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(60)] + [(4, 1), (None, 1)], "doc_id long, quality int")
+    whole = quality.log_ratios(docs, labels)
+    assert quality.log_ratios(docs, labels, trusted_rows=3) == whole and any(whole)
