@@ -2,7 +2,7 @@
 
 The decoder reads the Rice codes of many frames at once, one sample of every frame a step: a table of the
 next set bit gives each unary quotient, the remainders are gathered afterwards, and fixed or general linear
-predictors rebuild the samples. Header CRC-8, frame CRC-16 and the stream's MD5 are verified. Samples are
+predictors rebuild the samples, the general ones too one sample of every frame a step. Header CRC-8, frame CRC-16 and the stream's MD5 are verified. Samples are
 signed and of 8 or 16 bits, one channel.
 """
 
@@ -19,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrank.llm.common import map_batches, materialise
+from loomrank.llm.common import delete_path, map_batches, materialise
 
 BLOCK, RATE = 4096, 8000
 #: Bytes of frames whose bits are laid open at once.
 OPEN_BYTES = 1 << 20
+#: Taps of the general predictor that each frame of a text is offered besides the fixed ones.
+LPC_ORDER = 8
+#: Shares of a table whose streams lie on disk by turns.
+SHARES = 4
 # Fixed values of the format: block sizes by code, the binomial coefficients of the fixed predictors, CRC polynomials.
 BLOCK_CODES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 1024, 11: 2048, 12: 4096, 13: 8192, 14: 16384, 15: 32768}
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
@@ -342,25 +346,41 @@ def decode_frames(d: np.ndarray, spans: list[tuple[int, int]], widths: list[int]
                     u |= bits.take(p)
                 pieces[i].append(np.where(u & 1, -(u + 1 >> 1), u >> 1))
                 where[i] = last + k + 1
+        general: dict[tuple[int, int], list[tuple[Frame, np.ndarray]]] = {}
         for f, p in zip(lanes, pieces, strict=True):
-            f.samples = predicted(np.concatenate(p) if p else np.zeros(0, np.int64), f)
+            res = np.concatenate(p) if p else np.zeros(0, np.int64)
+            if f.coefs is None:
+                f.samples = undone(res, f)
+            else:  # frames of about one length, so that few lanes run empty
+                general.setdefault((len(f.coefs), len(res).bit_length()), []).append((f, res))
+        for some in general.values():
+            predict(some)
     return [f.samples for f in frames]
 
 
-def predicted(res: np.ndarray, f: Frame) -> np.ndarray:
+def undone(res: np.ndarray, f: Frame) -> np.ndarray:
+    """Samples of a fixed predictor: one difference is undone at a time, from the highest."""
     warm = np.array(f.warm, np.int64)
-    order = len(warm)
-    if f.coefs is None:
-        # undo one difference at a time, from the highest
-        for o in range(order, 0, -1):
-            first = int(np.diff(warm[:o], o - 1)[0])
-            res = np.cumsum(np.concatenate([[first], res]))
-        return res
-    out = np.concatenate([warm, res])
-    back = np.array(f.coefs[::-1], np.int64)
-    for i in range(order, len(out)):
-        out[i] += int(np.dot(back, out[i - order : i])) >> f.shift
-    return out
+    for o in range(len(warm), 0, -1):
+        first = int(np.diff(warm[:o], o - 1)[0])
+        res = np.cumsum(np.concatenate([[first], res]))
+    return res
+
+
+def predict(some: list[tuple[Frame, np.ndarray]]) -> None:
+    """Samples of frames with general predictors of one order from their residuals, one sample of every frame a step."""
+    some = sorted(some, key=lambda x: -len(x[1]))
+    order, sizes = len(some[0][0].coefs), np.array([len(r) for _, r in some])
+    out = np.zeros((order + sizes[0], len(some)), np.int64)
+    for i, (f, r) in enumerate(some):
+        out[:order, i] = f.warm
+        out[order : order + len(r), i] = r
+    back = np.array([f.coefs[::-1] for f, _ in some], np.int64).T.copy()
+    shifts = np.array([f.shift for f, _ in some])
+    for i, m in enumerate(np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right").tolist()):
+        out[order + i, :m] += np.einsum("ij,ij->j", out[i : i + order, :m], back[:, :m]) >> shifts[:m]
+    for i, (f, r) in enumerate(some):
+        f.samples = out[: order + len(r), i]
 
 
 def decode_all(streams: list[bytes]) -> list[np.ndarray]:
@@ -425,7 +445,7 @@ def feature_of(x: np.ndarray) -> str:
 def to_media(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: each text's padded UTF-8 bytes as a FLAC stream of 8-bit samples.
 
-    A null or empty text is one unit of zero bytes. Byte b is sample b - 128. Further columns are not read.
+    Each frame takes the better of the fixed predictors and a general one of LPC_ORDER taps. A null or empty text is one unit of zero bytes. Byte b is sample b - 128. Further columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,7 +453,7 @@ def to_media(docs: DataFrame) -> DataFrame:
             media, sizes = [], []
             for t in b.column("text").to_pylist():
                 payload, n = payload_of(t)
-                media.append(encode((np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8)))
+                media.append(encode((np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8), lpc_order=LPC_ORDER))
                 sizes.append(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -445,32 +465,64 @@ def stored_media(docs: DataFrame) -> DataFrame:
     return materialise(to_media(docs))
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """Read media back: ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``."""
+BLOCKS = "array<struct<sample_offset: long, n_samples: long, byte_offset: long, pcm: binary>>"
+
+
+def decoded_blocks(media: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, media_bytes, media_sha256, blocks``: each stream decoded into PCM blocks, one a frame, in order.
+
+    A block has its first sample, its number of samples, its frame's byte in the stream (what a seek needs) and the samples
+    as bytes. Repeated rows come back repeated; a stream without samples has no block.
+    """
+    kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("byte_offset", pa.int64()), ("pcm", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             streams = b.column("media").to_pylist()
-            rows = []
-            for m, x in zip(streams, decode_all(streams), strict=True):
-                raw = (x.view(np.uint8) ^ 0x80).tobytes()
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(x)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            blocks = [[{"sample_offset": s, "n_samples": n, "byte_offset": at, "pcm": x[s : s + n].tobytes()} for s, at, n in read_header(m).points] for m, x in zip(streams, decode_all(streams), strict=True)]
+            hashes = [hashlib.sha256(m).hexdigest() for m in streams]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array([len(m) for m in streams], pa.int64()), pa.array(hashes), pa.array(blocks, kind)], ["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
 
-    return map_batches(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks {BLOCKS}")
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """One row a frame: ``doc_id, block, sample_offset, n_samples, byte_offset, pcm``; offsets are what a seek needs."""
+def stored_blocks(docs: DataFrame) -> DataFrame:
+    """``decoded_blocks`` of each text's stream, written to the shared folder and read back.
+
+    Streams are written, read back and decoded for one of SHARES shares of the rows at a time (by the hash of doc_id), and
+    deleted once their blocks are written: both forms of a whole table would take the disk of two.
+    """
+    spark, paths = docs.sparkSession, []
+    for k in range(SHARES):
+        media = stored_media(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) == k))
+        blocks = materialise(decoded_blocks(media))
+        delete_path(spark, media.loomrank_path)
+        paths.append(blocks.loomrank_path)
+    return spark.read.schema(blocks.schema).parquet(*paths)
+
+
+def block_features(blocks: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` from PCM blocks of 8-bit samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, m in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True):
-                h, (x,) = read_header(m), decode_all([m])
-                n = len(h.points)
-                pcm = [x[s : s + k].tobytes() for s, _, k in h.points]
-                cols = [pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int64()), *[pa.array([p[i] for p in h.points], pa.int64()) for i in (0, 2, 1)], pa.array(pcm, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "block", "sample_offset", "n_samples", "byte_offset", "pcm"])
-
-    return map_batches(media.select("doc_id", "media"), run, "doc_id long, block long, sample_offset long, n_samples long, byte_offset long, pcm binary")
+            rows = []
+            for found in b.column("blocks").to_pylist():
+                x = np.frombuffer(b"".join(p["pcm"] for p in found), np.int8)
+                raw = (x.view(np.uint8) ^ 0x80).tobytes()
+                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), feature_of(x)))
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *made[:3], b.column("media_bytes"), b.column("media_sha256"), made[3]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    return map_batches(blocks, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def media_features(media: DataFrame) -> DataFrame:
+    """``block_features`` of streams of 8-bit samples."""
+    return block_features(decoded_blocks(media))
+
+
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """One row a frame: ``doc_id, block, sample_offset, n_samples, byte_offset, pcm``."""
+    rows = decoded_blocks(media.withColumn("n_bytes", F.lit(None).cast("long"))).select("doc_id", F.posexplode("blocks").alias("block", "b"))
+    return rows.select("doc_id", F.col("block").cast("long").alias("block"), "b.sample_offset", "b.n_samples", "b.byte_offset", "b.pcm")
