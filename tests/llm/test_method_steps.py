@@ -1,9 +1,11 @@
 """Steps of the named methods run in the queries themselves."""
 
 import hashlib
+import random
 
+import corpus_pipeline
 import numpy as np
-from loomrank.llm import flac, queries
+from loomrank.llm import flac, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +30,25 @@ def test_general_predictors_of_many_frames_are_undone_together():
     x = [np.cumsum(rng.integers(-9, 10, n)).astype(np.int16) for n in (1, 7, 40, 700, 5000, 9001)]
     m = [flac.encode(v, 16, order) for v in x for order in (0, 3, 8, 12)]
     assert all((a == b).all() for a, b in zip(flac.decode_all(m), [v for v in x for _ in range(4)], strict=True))
+
+
+def test_near_duplicate_stage_compares_fingerprints_bit_sliced(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for _ in range(12):
+        w = [word() for _ in range(600)]
+        texts += [" ".join(w), " ".join([*w[:-1], word()])]
+    docs = spark.createDataFrame([*enumerate(texts), (90, "a b"), (91, "A b"), (92, None), (93, " ")], "doc_id long, text string")
+    found = []
+
+    def seen(*args, kept=simhash.sliced_links, **more):
+        found.append(kept(*args, **more))
+        return found[-1]
+
+    monkeypatch.setattr(simhash, "sliced_links", seen)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()}
+    assert kept == {*range(0, 24, 2), 90, 92}
+    assert found[0].count() >= 8  # most pairs lie within the radius; the bands find the others
+    shingled = {simhash.fingerprint(t, 5) for t in ("a b", "A b")}
+    assert len(shingled) == 1
