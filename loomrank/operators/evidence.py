@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,19 +69,25 @@ def rerank_queries(profiles: DataFrame, experiences: DataFrame, most: int = QUER
     return both.select("rid", F.substring(F.when(query != "", query).otherwise(F.coalesce("text", F.lit(""))), 1, most).alias("query"))
 
 
-def evidence_payloads(profiles: DataFrame, experiences: DataFrame) -> DataFrame:
+def evidence_payloads(profiles: DataFrame, experiences: DataFrame, text: Column | None = None, piece_text: Callable[[Column], Column] | None = None) -> DataFrame:
     """``rid, payload``: a profile as JSON with verbatim evidence, and nothing else to quote from.
 
     ``experiences(rid, place, ref, kind, title, organization, months, months_ago, technologies, text)`` in order of place, each
     with at most PIECE characters of its block's text; a profile without any gives the first WHOLE characters of its own text as
     the one piece, so that there is always something to quote. ``profiles(rid, headline, text, total_months, work_months)``.
+
+    Where texts can be looked up or made from a few columns, these may travel in their stead: ``text`` is then the text of a
+    profile by its own columns, ``piece_text`` that of a piece by its column ``text``, which may be of any type. Both are asked
+    for once all is gathered, so what is shuffled and sorted doesn't grow with the texts.
     """
     fields = ["ref", "kind", "title", "organization", "months", "months_ago", "technologies"]
-    piece = F.struct("place", *fields, F.substring(F.coalesce("text", F.lit("")), 1, PIECE).alias("text"))
+    text = F.col("text") if text is None else text
+    cut = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, PIECE)
+    piece = F.struct("place", *fields, (F.col("text") if piece_text else cut(F.col("text"))).alias("text"))
     pieces = experiences.groupBy("rid").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     both = profiles.join(pieces, "rid", "left")
-    shown = F.transform("pieces", lambda p: F.struct(*[p[f].alias(f) for f in (*fields, "text")]))
+    shown = F.transform("pieces", lambda p: F.struct(*[p[f].alias(f) for f in fields], (cut(piece_text(p["text"])) if piece_text else p["text"]).alias("text")))
     types = {f.name: f.dataType for f in experiences.schema.fields}
-    alone = F.struct(F.lit("resume").alias("ref"), F.lit("other").alias("kind"), F.lit("").alias("title"), F.lit("").alias("organization"), F.lit(None).cast(types["months"]).alias("months"), F.lit(None).cast(types["months_ago"]).alias("months_ago"), F.array().cast("array<string>").alias("technologies"), F.substring(F.coalesce("text", F.lit("")), 1, WHOLE).alias("text"))
+    alone = F.struct(F.lit("resume").alias("ref"), F.lit("other").alias("kind"), F.lit("").alias("title"), F.lit("").alias("organization"), F.lit(None).cast(types["months"]).alias("months"), F.lit(None).cast(types["months_ago"]).alias("months_ago"), F.array().cast("array<string>").alias("technologies"), F.substring(F.coalesce(text, F.lit("")), 1, WHOLE).alias("text"))
     body = F.struct(F.coalesce("headline", F.lit("")).alias("headline"), F.col("total_months").alias("total_experience_months"), F.col("work_months").alias("work_experience_months"), F.coalesce(shown, F.array(alone)).alias("experiences"))
     return both.select("rid", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))

@@ -55,15 +55,26 @@ def requirement_similarity(spark, sf_dir):
     return V.recency_or(got.withColumn("overlap", F.round(F.col("owner") % 10 / 10, 6)), "recency", "overlap").select("owner", "semantic", "recency")
 
 
+PROFILE_TEXT = "repeat(o_orderpriority || ' ', cast(o_orderkey % 9 * 250 as int))"
+PIECE_TEXT = "repeat('evidence ', cast(l_partkey % 700 as int))"
 PROFILES = "select o_orderkey as rid, case when o_orderkey % 4 = 0 then ' ' else 'Order ' || o_orderstatus end as headline, repeat(o_orderpriority || ' ', cast(o_orderkey % 9 * 250 as int)) as text, o_orderkey % 60 as total_months, o_orderkey % 40 as work_months from {orders}"
 EXPERIENCES = """select l_orderkey as rid, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag, l_linestatus) as bigint) as place, 'b' || cast(l_linenumber as string) as ref, case when l_linestatus = 'O' then 'work' else 'project' end as kind, case when l_linenumber % 4 = 2 then '' else 'Part ' || cast(l_partkey as string) end as title, 'Supplier ' || cast(l_suppkey as string) as organization,
  repeat('summed up ', cast(l_partkey % 30 as int)) as summary, case when l_linenumber % 3 = 0 then cast(null as bigint) else l_suppkey % 24 end as months, l_partkey % 48 as months_ago, repeat('evidence ', cast(l_partkey % 700 as int)) as text, l_returnflag as flag from {lineitem} where l_orderkey % 5 <> 0"""
 
 
 def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = C.shared(spark, sf_dir, EXPERIENCES, "lineitem")
+    return C.shared(spark, sf_dir, PROFILES, "orders"), with_lists(C.shared(spark, sf_dir, EXPERIENCES, "lineitem"))
+
+
+def with_lists(e: DataFrame) -> DataFrame:
     lists = {"highlights": F.array(F.lit("Shipped"), F.concat(F.lit("Returned "), F.col("flag"))), "technologies": F.array(F.col("flag"), F.lit("SQL"))}
-    return C.shared(spark, sf_dir, PROFILES, "orders"), e.withColumns(lists).drop("flag")
+    return e.withColumns(lists).drop("flag")
+
+
+def seeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``built`` with the columns that texts are made from in place of the texts."""
+    p, e = PROFILES.replace(PROFILE_TEXT, "o_orderpriority"), EXPERIENCES.replace(PIECE_TEXT, "l_partkey")
+    return C.shared(spark, sf_dir, p, "orders"), with_lists(C.shared(spark, sf_dir, e, "lineitem"))
 
 
 def rerank_queries(spark, sf_dir):
@@ -71,7 +82,9 @@ def rerank_queries(spark, sf_dir):
 
 
 def evidence_payloads(spark, sf_dir):
-    return V.evidence_payloads(*built(spark, sf_dir)).select("rid", F.length("payload").cast("long").alias("chars"), F.sha2("payload", 256).alias("hash"))
+    text = F.expr(PROFILE_TEXT.replace("o_orderpriority", "text").replace("o_orderkey", "rid"))
+    piece = lambda key: F.repeat(F.lit("evidence "), (key % 700).cast("int"))
+    return V.evidence_payloads(*seeds(spark, sf_dir), text, piece).select("rid", F.length("payload").cast("long").alias("chars"), F.sha2("payload", 256).alias("hash"))
 
 
 def board_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
