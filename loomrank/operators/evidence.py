@@ -58,8 +58,11 @@ def rerank_queries(profiles: DataFrame, experiences: DataFrame, most: int = QUER
     """``rid, query``: headline and experiences in order within ``most`` characters; the whole text's beginning where both are blank.
 
     ``profiles(rid, headline, text)``, ``experiences(rid, place, title, organization, summary, highlights, technologies)``.
-    Only what can still fall within the budget is gathered: pieces whose predecessors fill it are left where they are.
+    Only what can still fall within the budget is gathered: pieces whose predecessors fill it are left where they are, and of a
+    profile's text no more travels than the beginning that may be asked for, and that only where the headline is blank.
     """
+    text = F.when(F.coalesce(F.trim("headline") == "", F.lit(True)), F.substring("text", 1, most))
+    profiles = profiles.select("rid", "headline", text.alias("text"))
     pieces = experiences.select("rid", "place", as_text().alias("piece")).where(F.trim("piece") != "")
     before = Window.partitionBy("rid").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     fits = pieces.withColumn("used", F.coalesce(F.sum(F.length("piece") + 1).over(before), F.lit(0))).where(F.col("used") <= most)  # at the limit itself the blank before it still counts

@@ -18,3 +18,12 @@ def test_payloads_are_the_same_and_no_text_is_shuffled(spark):
     late = P.evidence_payloads(spark, SF)
     assert late.count() == plain.count() > 0 and late.exceptAll(plain).isEmpty()
     assert "repeat(evidence" in shuffled(plain) and "repeat(evidence" not in shuffled(late)
+
+
+def test_rerank_query_takes_the_text_only_where_the_headline_is_blank(spark):
+    p = spark.createDataFrame([(1, " ", "x" * 5000), (2, None, "y" * 5000), (3, "H", "z" * 5000), (4, "", None), (5, " ", "w" * 9)], "rid long, headline string, text string")
+    e = spark.createDataFrame([(5, 1, "T", "", "", ["a"], ["b"])], "rid long, place long, title string, organization string, summary string, highlights array<string>, technologies array<string>")
+    df = V.rerank_queries(p, e)
+    got = {r.rid: r.query for r in df.collect()}
+    assert got == {1: "x" * 1200, 2: "y" * 1200, 3: "H", 4: "", 5: "T\na\nb"}
+    assert "substring(text" in shuffled(df)
