@@ -1,8 +1,13 @@
 """Work that rules and streams are spared, with the results that they had."""
 
+from loomrank.functions import skills as K
 from loomrank.functions import text as T
+from loomrank.operators import drafts as D
 from loomrank.operators import eligibility as E
-from loomrank.plans import inputs, postings
+from loomrank.operators import profile as R
+from loomrank.plans import drafts, inputs, postings
+from loomrank.streaming.reuse import REUSE_SECONDS, Reuse, ends
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +40,38 @@ def test_restrictions_behind_addresses_and_marks_are_found(spark):
     texts = ["PRhttps://x.example/a only", "Must have PR:status", "open only to Permanent:Residents", "see https://x.example/SWPP now", "U.S. citizens only", "PRO only, must have PROSE", "Student Work Placement Programme", "国。PR only", "nothing", None, ""]
     got = [r.r for r in spark.createDataFrame([(t,) for t in texts], "t string").select(E.restriction(F.array("t")).alias("r")).collect()]
     assert got == ["PR only", "Must have PR status", "open only to Permanent Residents", None, "US citizens only", None, "programme", "PR only", None, None, None]
+
+
+def test_aliases_are_looked_for_once_and_places_kept(spark):
+    p = inputs.profiles(spark, SF)
+    got = R.mentions_in(p)
+    plain = p.select("rid", R.laid_out(F.col("text")).alias("laid")).select("rid", F.inline_outer(K.mentions_of(F.col("laid")))).where("canonical is not null")
+    assert got.exceptAll(plain).isEmpty() and got.count() == plain.count() > 0
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_a_models_technologies_come_without_the_rules(spark):
+    p, answers = drafts.profiles(spark, SF)
+    blocks = R.blocks_of(p)
+    whole = D.assembled(p, blocks, answers, drafts.YEAR, drafts.MONTH)[1].where("by_model").select("rid", "block", F.explode("technologies").alias("name"))
+    alone = D.modelled(p, blocks, answers).where("by_model").select("rid", "block", F.explode("technologies").alias("name"))
+    assert alone.exceptAll(whole).isEmpty() and alone.count() == whole.count() > 0
+
+
+def test_reuse_takes_rows_one_by_one():
+    class Kept:
+        value, timers = None, []
+        getValueState = lambda self, *_: self
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+        registerTimer = lambda self, at: self.timers.append(at)
+        deleteTimer = lambda self, at: self.timers.remove(at)
+
+    kept, day = Kept(), REUSE_SECONDS * 1_000_000
+    reuse = Reuse()
+    reuse.init(kept)
+    row = lambda seq, kind, came, read_at=None: Row(id="a", seq=seq, kind=kind, came=came, read_at=read_at, body=f"b{seq}")
+    got = list(reuse.handleInputRows(("a",), iter([row(4, "listing", day + 4), row(2, "detail", 5, 5), row(3, "listing", day + 4), row(1, "listing", 1)]), None))
+    assert [(r.seq, r.outcome, r.body) for r in got] == [(1, "to read", None), (3, "reused", "b2"), (4, "reused", "b2")]
+    list(reuse.handleInputRows(("a",), iter([row(5, "detail", 5, 2_000_000), row(6, "detail", 5, None)]), None))
+    assert tuple(kept.value) == (2_000_000, "b5") and kept.timers == [ends(2_000_000)]
