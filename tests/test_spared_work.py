@@ -5,7 +5,8 @@ from loomrank.functions import text as T
 from loomrank.operators import drafts as D
 from loomrank.operators import eligibility as E
 from loomrank.operators import profile as R
-from loomrank.plans import drafts, inputs, postings
+from loomrank.operators import retrieval as R0
+from loomrank.plans import drafts, inputs, matching, postings
 from loomrank.streaming.reuse import REUSE_SECONDS, Reuse, ends
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -75,3 +76,14 @@ def test_reuse_takes_rows_one_by_one():
     assert [(r.seq, r.outcome, r.body) for r in got] == [(1, "to read", None), (3, "reused", "b2"), (4, "reused", "b2")]
     list(reuse.handleInputRows(("a",), iter([row(5, "detail", 5, 2_000_000), row(6, "detail", 5, None)]), None))
     assert tuple(kept.value) == (2_000_000, "b5") and kept.timers == [ends(2_000_000)]
+
+
+def test_a_task_counts_the_items_of_so_many_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta beta delta"), (3, "nothing here"), (4, None), (5, "alpha"), (5, "beta delta"), (None, "gamma"), (6, "Gamma, alpha")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "alpha"), (7, "beta"), (8, "beta"), (8, "delta"), (9, "gamma"), (3, "epsilon")], "item_id long, term string")
+    monkeypatch.setattr(R0, "DEALT", 1)
+    got = R0.most_shared(docs, items)
+    # one exchange, by document alone, before any term is counted
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and f", {docs.count()}), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 7, 2), (2, 8, 2), (5, 7, 2), (None, 9, 1), (6, 7, 1)], key=repr)
