@@ -25,7 +25,8 @@ def replayed(df: DataFrame, order: str, folder: str, parts: int = PARTS, some: r
     spark = df.sparkSession
     for i in some or range(parts):
         lo, hi = ((low or 0) + ((high or 0) + 1 - (low or 0)) * j // parts for j in (i, i + 1))
-        df.where((F.col(order) >= lo) & (F.col(order) < hi)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        # dealt into one file behind a shuffle: coalesced, the whole table would be read and worked out by one task for each part
+        df.where((F.col(order) >= lo) & (F.col(order) < hi)).repartition(1).write.mode("append").parquet(f"{folder}/in")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", A_BATCH).parquet(f"{folder}/in")
 
 

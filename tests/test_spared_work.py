@@ -6,8 +6,9 @@ from loomrank.operators import drafts as D
 from loomrank.operators import eligibility as E
 from loomrank.operators import profile as R
 from loomrank.operators import retrieval as R0
-from loomrank.plans import drafts, inputs, matching, postings
+from loomrank.plans import drafts, inputs, matching, postings, streams
 from loomrank.streaming.reuse import REUSE_SECONDS, Reuse, ends
+from pyspark import TaskContext
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -87,3 +88,12 @@ def test_a_task_counts_the_items_of_so_many_documents(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and f", {docs.count()}), REPARTITION_BY_NUM" in plan
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 7, 2), (2, 8, 2), (5, 7, 2), (None, 9, 1), (6, 7, 1)], key=repr)
+
+
+def test_a_streams_part_is_one_file_made_by_all_tasks(spark, tmp_path):
+    task = F.udf(lambda _: TaskContext.get().partitionId(), "int")
+    df = spark.range(0, 80, 1, 4).select("id", task("id").alias("task"))
+    streams.replayed(df, "id", f"file://{tmp_path}", parts=2)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 2
+    got = spark.read.parquet(f"file://{tmp_path}/in")
+    assert got.count() == 80 and got.select("task").distinct().count() == 4
